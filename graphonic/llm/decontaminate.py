@@ -158,23 +158,49 @@ def _scan(index: Index):
     return kernel
 
 
+def _usable(benchmark: DataFrame) -> DataFrame:
+    return benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id is not null and text is not null")
+
+
+def _size(bench: DataFrame) -> int:
+    return bench.agg(F.sum(F.octet_length("text") + F.octet_length("item_id"))).first()[0] or 0
+
+
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, k: int = KGRAM, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """Per document: its words, words inside benchmark windows, the items met and the spans hit.
 
     ``docs`` has doc_id and text, ``benchmark`` item_id and text.
     """
     docs = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    bench = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id is not null and text is not null")
-    size = bench.agg(F.sum(F.octet_length("text") + F.octet_length("item_id"))).first()[0] or 0
-    if size <= broadcast_bytes:
+    bench = _usable(benchmark)
+    if _size(bench) <= broadcast_bytes:
         index = Index([(r.item_id, r.text) for r in bench.collect()], window, k)
         return docs.mapInArrow(_scan(index), SCHEMA)
     return _shuffled(docs, bench, window, k)
 
 
-def _wide(words: Words, i: int, n: int) -> int:
-    """A signed 64-bit key of a window's words; the words themselves are compared after the join."""
-    return int.from_bytes(hashlib.blake2b(words.run(i, n), digest_size=8).digest(), "big", signed=True)
+def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, k: int = KGRAM, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """The rows of docs, with all their columns, in which no benchmark window occurs.
+
+    Within the broadcast bound rows are dropped where they are read; beyond it
+    the contaminated doc_ids are joined away.
+    """
+    bench = _usable(benchmark)
+    if _size(bench) > broadcast_bytes:
+        found = decontaminate(docs, benchmark, window, k, broadcast_bytes).where("contaminated").select("doc_id").distinct()
+        return docs.join(found, "doc_id", "left_anti").select(docs.columns)
+    index = Index([(r.item_id, r.text) for r in bench.collect()], window, k)
+
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in slices(whole, "text"):
+                words = Words(batch.column(batch.schema.get_field_index("text")))
+                keep = np.ones(batch.num_rows, bool)
+                for i, _, _ in index.windows(words):
+                    keep[words.doc[i]] = False
+                yield batch.filter(pa.array(keep))
+
+    return docs.mapInArrow(kernel, docs.schema)
 
 
 def _shuffled(docs: DataFrame, bench: DataFrame, window: int, k: int) -> DataFrame:
