@@ -17,8 +17,8 @@ import numpy as np
 
 #: Pieces remembered by one worker in each of two generations; the older one goes when the newer is full.
 REMEMBERED = 900_000
-_WHOLE = re.compile(r"\s |[ ]\s|[ ]\Z|[\x1c-\x1f\x85]")
-_COARSE = re.compile(r"(?:\A|[^0-9A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f\u0400-\u045f])[,.]|\s\n|\n\s|\n\Z|\A\n")
+_WHOLE = re.compile(r" (?<!\S )| (?!\S)|[\x1c-\x1f\x85]")
+_COARSE = re.compile(r"[,.](?<![0-9A-Za-zÀ-ÖØ-öø-įı-ɏЀ-џ][,.])|\n(?<!\S\n)|\n(?!\S)")
 
 
 def vocabulary(name: str) -> str:
@@ -87,8 +87,9 @@ class Encoder:
             return []
         if _WHOLE.search(text):
             return None
+        fine = not _COARSE.search(text)
         text = text.replace(" ", "\x1f ")
-        if not _COARSE.search(text):
+        if fine:
             text = text.replace(",", "\x1f,").replace(".", "\x1f.").replace("\n", "\x1f\n\x1f")
         return text.split("\x1f")
 
