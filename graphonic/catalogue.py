@@ -2,5 +2,8 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from .operators import distances, language_models, words
+from .plans import transcribe
+
+QUERIES: dict = {**transcribe.QUERIES, **words.QUERIES, **distances.QUERIES, **language_models.QUERIES}
+ORACLE_SQL: dict = {**words.ORACLE_SQL, **distances.ORACLE_SQL, **language_models.ORACLE_SQL}
