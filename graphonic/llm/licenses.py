@@ -1,15 +1,15 @@
 """License scans: sparse TF-IDF cosine to templates, then inheritance from the nearest directory.
 
-Every line of every text, and every text as a whole, is compared with license
-statements and opening paragraphs by the cosine of TF-IDF vectors.  Most lines
-are ruled out before any vector is built, and exactly: for each template the
-uncommon terms of greatest weight are its anchors, as many as needed for the
-rest of the template to have a norm below threshold, so a line without an anchor
-cannot reach the threshold (Cauchy-Schwarz).  What is left is exploded into
-terms, joined with the templates' weights and summed.
-
-A file whose lines that match hold at least half of its words is a licence
-file of its directory.  A file without a match of its own inherits from the
+Every line of every text, and every run of up to ``RUN`` lines, is compared
+with license statements and opening paragraphs by the cosine of TF-IDF
+vectors.  Most are ruled out before any vector is built, and exactly: for each
+template the uncommon terms of greatest weight are its anchors, as many as
+needed for the rest of the template to have a norm below threshold, so a unit
+without an anchor cannot reach the threshold (Cauchy-Schwarz).  What is left is
+exploded into terms, joined with the templates' weights and summed.
+
+A file in which single lines that match, or one run that matches, hold at
+least half of the words is a licence file of its directory.  A file without a match of its own inherits from the
 nearest ancestor directory that has a licence file: its directory is exploded
 into its ancestors (as many rows as the path is deep) and joined by path.
 
@@ -35,12 +35,14 @@ from .common import table, written
 
 THRESHOLD = 0.7
 FILE_SHARE = 0.5
+RUN = 3
 
 #: License statements and opening paragraphs (fixed values, from the licenses' public texts).
 TEMPLATES: tuple[tuple[str, str], ...] = (
     ("AGPL-3.0", "This program is licensed under the GNU Affero General Public License, version 3."),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
-    ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0"),
+    ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License."),
+    ("Apache-2.0", "You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0"),
     ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
     ("BSD-3-Clause", "Released under the BSD 3-Clause License."),
     ("CC-BY-4.0", "Licensed under CC BY 4.0."),
@@ -52,7 +54,7 @@ TEMPLATES: tuple[tuple[str, str], ...] = (
     ("CC0-1.0", "To the extent possible under law, the author has waived all copyright and related rights to this work, CC0 1.0 Universal, public domain dedication."),
     ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2."),
     ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
-    ("GPL-3.0", "under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version"),
+    ("GPL-3.0", "under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License"),
     ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"),
     ("LGPL-3.0", "This work is licensed under the GNU Lesser General Public License, version 3."),
     ("MIT", "Released under the MIT License."),
@@ -64,11 +66,18 @@ TEMPLATES: tuple[tuple[str, str], ...] = (
 
 
 #: Words that are common in any text; they are anchors only where a template has no other (fixed values).
-COMMON = frozenset("a all an and any are as at be by can for free from has have in into is it later not of on or that the this to was with work you may".split())
+COMMON = frozenset("a all an and any are as at be by can for free from has have in into is it later not of on or that the this to under was with work you may".split())
+
+
+#: Names of several words that are one term: as written, and the term.
+NAMES = (("cc[ -]by", "ccby"), ("mit license", "mitlicense"))
 
 
 def _terms(text: str) -> list[str]:
-    return [w for w in re.split(r"[^a-z0-9]+", text.lower()) if w]
+    text = text.lower()
+    for written_as, term in NAMES:
+        text = re.sub(rf"\b{written_as}\b", term, text)
+    return [w for w in re.split(r"[^a-z0-9]+", text) if w]
 
 
 class Templates:
@@ -88,7 +97,7 @@ class Templates:
             unit = {w: x / norm for w, x in raw.items()}
             self.weights.append(unit)
             rest = 1.0
-            for w, x in sorted(unit.items(), key=lambda p: (p[0] in COMMON, -p[1], p[0])):
+            for w, x in sorted(unit.items(), key=lambda p: (2 * (p[0] in COMMON) + (len(p[0]) < 2), -p[1], p[0])):
                 if rest < (threshold * 0.999) ** 2:
                     break
                 anchors.add(w)
@@ -97,34 +106,41 @@ class Templates:
 
 
 def _words(text: Column) -> Column:
-    return F.filter(F.split(F.lower(text), "[^a-z0-9]+"), lambda w: w != "")
+    text = F.lower(text)
+    for written_as, term in NAMES:
+        text = F.regexp_replace(text, rf"\b{written_as}\b", term)
+    return F.filter(F.split(text, "[^a-z0-9]+"), lambda w: w != "")
 
 
 def own_licenses(files: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES, threshold: float = THRESHOLD, share: float = FILE_SHARE) -> DataFrame:
     """id, license, score, is_file of the files with a match; ``files`` has id and text.
 
-    The best unit (line or whole text) gives the license.
+    The best unit (a line or a run of lines) gives the license.
     """
     spark, known = files.sparkSession, Templates(templates, threshold)
     text = F.coalesce(F.col("text"), F.lit(""))
     anchored = lambda words: F.arrays_overlap(words, F.array(*[F.lit(w) for w in known.anchors]))
     # A text in which no anchor occurs is gone before it is cut into lines.
-    some = F.lower(text).rlike(r"(?<![a-z0-9])(?:" + "|".join(known.anchors) + r")(?![a-z0-9])")
-    lines = files.where(some).select("id", F.posexplode(F.concat(F.array(text), F.split(text, "[\r\n]+"))).alias("unit", "line"))
-    units = lines.select("id", "unit", _words("line").alias("words")).where(anchored(F.col("words"))).select("id", "unit", F.size("words").alias("n"), "words")
-    term = units.select("id", "unit", "n", F.explode("words").alias("term")).groupBy("id", "unit", "n", "term").agg(F.count("*").alias("tf"))
+    pattern = r"\b(?:" + "|".join(dict((t, w) for w, t in NAMES).get(a, a) for a in known.anchors) + r")\b"
+    some = F.lower(text).rlike(pattern)
+    whole = files.where(some).select("id", F.size(_words(text)).alias("total"), F.filter(F.split(text, "[\r\n]+"), lambda x: F.trim(x) != "").alias("parts"))
+    # Units: each line, and each run of up to RUN lines, numbered by line and length.
+    near = lambda k, n: F.array_join(F.slice("parts", k + 1, n), " ")
+    every = F.flatten(F.transform("parts", lambda _, k: F.array(*[F.when(k + n <= F.size("parts"), F.struct((k * RUN + n - 1).alias("unit"), near(k, n).alias("line"))) for n in range(1, RUN + 1)])))
+    lines = whole.select("id", "total", F.explode(F.filter(every, lambda x: x.isNotNull() & F.lower(x["line"]).rlike(pattern))).alias("x")).select("id", "total", "x.unit", "x.line")
+    units = lines.select("id", "total", "unit", _words("line").alias("words")).where(anchored(F.col("words"))).select("id", "total", "unit", F.size("words").alias("n"), "words")
+    term = units.select("id", "total", "unit", "n", F.explode("words").alias("term")).groupBy("id", "total", "unit", "n", "term").agg(F.count("*").alias("tf"))
     idf = spark.createDataFrame(list(known.idf.items()), "term string, idf double")
     weighed = term.join(F.broadcast(idf), "term", "left").withColumn("w", F.col("tf") * F.coalesce("idf", F.lit(known.unknown)))
     weights = spark.createDataFrame([(k, name, w, x) for k, (name, by) in enumerate(zip(known.names, known.weights)) for w, x in by.items()], "template int, license string, term string, x double")
-    norm = weighed.groupBy("id", "unit", "n").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+    norm = weighed.groupBy("id", "total", "unit", "n").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
     dots = weighed.where("idf is not null").join(F.broadcast(weights), "term").groupBy("id", "unit", "template", "license").agg(F.sum(F.col("w") * F.col("x")).alias("dot"))
     scored = dots.join(norm, ["id", "unit"]).withColumn("score", F.round(F.col("dot") / F.col("norm"), 6)).where(F.col("score") >= threshold)
-    best = scored.groupBy("id", "unit", "n").agg(F.max(F.struct("score", F.lit("").alias("pad"))).alias("top"), F.collect_set(F.struct("score", "license")).alias("found"))
-    best = best.select("id", "unit", "n", F.col("top.score").alias("score"), F.array_min(F.transform(F.filter("found", lambda x: x.score == F.col("top.score")), lambda x: x.license)).alias("license"))
-    per_file = best.groupBy("id").agg(F.max("score").alias("score"), F.sum(F.when(F.col("unit") > 0, F.col("n")).otherwise(0)).alias("words"), F.max((F.col("unit") == 0).cast("int")).alias("whole"), F.collect_set(F.struct("score", "license")).alias("found"))
-    per_file = per_file.select("id", "score", F.array_min(F.transform(F.filter("found", lambda x: x.score == F.col("score")), lambda x: x.license)).alias("license"), "words", "whole")
-    total = files.where(some).select(F.col("id").alias("id"), F.size(_words(text)).alias("total"))
-    return per_file.join(total, "id").select("id", "license", "score", ((F.col("whole") == 1) | (F.col("words") >= share * F.col("total"))).alias("is_file"))
+    best = scored.groupBy("id", "total", "unit", "n").agg(F.max(F.struct("score", F.lit("").alias("pad"))).alias("top"), F.collect_set(F.struct("score", "license")).alias("found"))
+    best = best.select("id", "total", "unit", "n", F.col("top.score").alias("score"), F.array_min(F.transform(F.filter("found", lambda x: x.score == F.col("top.score")), lambda x: x.license)).alias("license"))
+    per_file = best.groupBy("id", "total").agg(F.max("score").alias("score"), F.max("n").alias("longest"), F.sum(F.when(F.col("unit") % RUN == 0, F.col("n")).otherwise(0)).alias("words"), F.collect_set(F.struct("score", "license")).alias("found"))
+    per_file = per_file.select("id", "total", "score", F.array_min(F.transform(F.filter("found", lambda x: x.score == F.col("score")), lambda x: x.license)).alias("license"), F.greatest("words", "longest").alias("words"))
+    return per_file.select("id", "license", "score", (F.col("words") >= share * F.col("total")).alias("is_file"))
 
 
 def directory(path: Column) -> Column:
@@ -166,6 +182,7 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _oracle() -> str:
     known = Templates()
+    normal = lambda x: f"regexp_replace(regexp_replace(lower({x}), '\\b{NAMES[0][0]}\\b', '{NAMES[0][1]}', 'g'), '\\b{NAMES[1][0]}\\b', '{NAMES[1][1]}', 'g')"
     quote = lambda s: "'" + s.replace("'", "''") + "'"
     idf = ", ".join(f"({quote(w)}, CAST({x!r} AS DOUBLE))" for w, x in known.idf.items())
     weights = ", ".join(f"({k}, {quote(name)}, {quote(w)}, CAST({x!r} AS DOUBLE))" for k, (name, by) in enumerate(zip(known.names, known.weights)) for w, x in by.items())
@@ -173,8 +190,10 @@ def _oracle() -> str:
 WITH idf(term, idf) AS (VALUES {idf}), weights(template, license, term, x) AS (VALUES {weights}),
 f AS (SELECT doc_id, coalesce(source, '-') || '/' || coalesce(lang, '-') AS top, concat_ws('/', coalesce(source, '-'), coalesce(lang, '-'), CAST(CAST(floor(doc_id / 1000) AS BIGINT) AS VARCHAR)) AS own_dir, coalesce(text, '') AS text FROM documents),
 p AS (SELECT *, own_dir || '/' || CAST(doc_id AS VARCHAR) AS path FROM f),
-u AS (SELECT doc_id, unnest(list_concat([text], string_split_regex(text, '[\r\n]+'))) AS line, generate_subscripts(list_concat([text], string_split_regex(text, '[\r\n]+')), 1) - 1 AS unit FROM p),
-w AS (SELECT doc_id, unit, list_filter(string_split_regex(lower(line), '[^a-z0-9]+'), lambda x: x <> '') AS words FROM u),
+l AS (SELECT doc_id, list_filter(string_split_regex(text, '[\r\n]+'), lambda x: trim(x) <> '') AS ps FROM p),
+k AS (SELECT doc_id, ps, unnest(range(0, len(ps))) AS k FROM l),
+u AS (SELECT doc_id, k * {RUN} + n - 1 AS unit, array_to_string(ps[k + 1 : k + n], ' ') AS line FROM k, (SELECT unnest(range(1, {RUN} + 1)) AS n) WHERE k + n <= len(ps)),
+w AS (SELECT doc_id, unit, list_filter(string_split_regex({normal('line')}, '[^a-z0-9]+'), lambda x: x <> '') AS words FROM u),
 t AS (SELECT doc_id, unit, len(words) AS n, unnest(words) AS term FROM w),
 tf AS (SELECT doc_id, unit, n, term, count(*) AS tf FROM t GROUP BY ALL),
 x AS (SELECT tf.*, idf.idf, tf.tf * coalesce(idf.idf, CAST({known.unknown!r} AS DOUBLE)) AS w FROM tf LEFT JOIN idf USING (term)),
@@ -183,9 +202,9 @@ dt AS (SELECT doc_id, unit, template, license, sum(w * x) AS dot FROM x JOIN wei
 sc AS (SELECT dt.doc_id, dt.unit, n, license, round(dot / norm, 6) AS score FROM dt JOIN nm USING (doc_id, unit) WHERE round(dot / norm, 6) >= {THRESHOLD}),
 bu AS (SELECT doc_id, unit, n, max(score) AS score FROM sc GROUP BY ALL),
 bl AS (SELECT doc_id, unit, n, score, min(license) AS license FROM sc JOIN bu USING (doc_id, unit, n, score) GROUP BY ALL),
-bf AS (SELECT doc_id, max(score) AS score, sum(CASE WHEN unit > 0 THEN n ELSE 0 END) AS words, max(CASE WHEN unit = 0 THEN 1 ELSE 0 END) AS whole FROM bl GROUP BY ALL),
-ow AS (SELECT bf.doc_id, bf.score, words, whole, min(license) AS license FROM bf JOIN bl ON bf.doc_id = bl.doc_id AND bf.score = bl.score GROUP BY ALL),
-o AS (SELECT ow.doc_id, ow.license, ow.score, whole = 1 OR words >= {FILE_SHARE} * len(list_filter(string_split_regex(lower(p.text), '[^a-z0-9]+'), lambda x: x <> '')) AS is_file, p.own_dir, p.path FROM ow JOIN p USING (doc_id)),
+bf AS (SELECT doc_id, max(score) AS score, greatest(max(n), sum(CASE WHEN unit % {RUN} = 0 THEN n ELSE 0 END)) AS words FROM bl GROUP BY ALL),
+ow AS (SELECT bf.doc_id, bf.score, words, min(license) AS license FROM bf JOIN bl ON bf.doc_id = bl.doc_id AND bf.score = bl.score GROUP BY ALL),
+o AS (SELECT ow.doc_id, ow.license, ow.score, words >= {FILE_SHARE} * len(list_filter(string_split_regex({normal('p.text')}, '[^a-z0-9]+'), lambda x: x <> '')) AS is_file, p.own_dir, p.path FROM ow JOIN p USING (doc_id)),
 bd AS (SELECT own_dir AS dir, arg_min(license, (-score, path)) AS inherited FROM o WHERE is_file GROUP BY ALL),
 an AS (SELECT DISTINCT own_dir, own_dir AS dir, 3 AS depth FROM p UNION SELECT DISTINCT own_dir, top, 2 FROM p UNION SELECT DISTINCT own_dir, split_part(own_dir, '/', 1), 1 FROM p UNION SELECT DISTINCT own_dir, '', 0 FROM p),
 nr AS (SELECT own_dir, arg_max(dir, depth) AS dir, arg_max(inherited, depth) AS inherited FROM an JOIN bd USING (dir) GROUP BY ALL)
