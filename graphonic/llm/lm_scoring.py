@@ -33,7 +33,7 @@ from .common import ALNUM, LOWER, byte_prefix, slices, span_hash, spans, table,
 WORDS = 1 << 16
 FREQUENT, SHARED = 64, 32
 CLASSES = FREQUENT + SHARED
-HIDDEN, REACH, BATCH, RATE, ROUNDS = 12, 2, 4096, 0.5, 1
+HIDDEN, BATCH, RATE, ROUNDS = 12, 4096, 0.5, 2
 PLACES = (-2, -1, 1, 2)
 #: Class of the padding before a text's first and after its last word.
 PAD = CLASSES

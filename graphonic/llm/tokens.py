@@ -16,7 +16,7 @@ import re
 import numpy as np
 
 #: Pieces remembered by one worker in each of two generations; the older one goes when the newer is full.
-REMEMBERED = 900_000
+REMEMBERED = 600_000
 _WHOLE = re.compile(r" (?<!\S )| (?!\S)|[\x1c-\x1f\x85]")
 _COARSE = re.compile(r"[,.](?<![0-9A-Za-zÀ-ÖØ-öø-įı-ɏЀ-џ][,.])|\n(?<!\S\n)|\n(?!\S)")
 

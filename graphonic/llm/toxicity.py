@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from .common import ALNUM, LOWER, byte_prefix, slices, span_hash, spans, table, text_bytes
 
-SAMPLE, BUCKETS, FEATURES, FACTORS, EPOCHS = 16_000, 1 << 20, 2048, 8, 12
+SAMPLE, BUCKETS, FEATURES, FACTORS, EPOCHS = 12_000, 1 << 20, 2048, 8, 12
 #: Lengths, in bytes, of the beginnings of words that are terms beside the words.
 BEGINNINGS = (3, 4, 5, 6)
 
@@ -86,7 +86,7 @@ def fit(row: np.ndarray, bucket: np.ndarray, label: np.ndarray, features: int =
         share = min(max(positive / max(n, 1), 1e-9), 1 - 1e-9)
         return Machine(float(np.log(share / (1 - share))), np.zeros(BUCKETS, np.int32), np.zeros(0), np.zeros((0, factors)))
     seen = np.bincount(bucket, minlength=BUCKETS).astype(float)
-    toxic = np.bincount(bucket, label[row].astype(float), minlength=BUCKETS)
+    toxic = np.bincount(bucket[label[row] == 1], minlength=BUCKETS)
     share = positive / n
     strength = np.where(seen >= 3, np.abs(toxic - seen * share) / np.sqrt(seen * share * (1 - share) + 1), 0)
     chosen = np.argsort(-strength, kind="stable")[:features]
@@ -97,6 +97,7 @@ def fit(row: np.ndarray, bucket: np.ndarray, label: np.ndarray, features: int =
     met = feature > 0
     order = np.argsort(row[met], kind="stable")
     row, feature = row[met][order], feature[met][order] - 1
+    del bucket, met, order
     first = np.searchsorted(row, np.arange(n + 1))
     rng = np.random.default_rng(seed)
     w0, w = float(np.log(share / (1 - share))), np.zeros(len(chosen))
@@ -145,8 +146,10 @@ def learned(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Machine
     joined = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(bounded), "doc_id").select("doc_id", "text", "toxic")
     rows = sorted(joined.mapInArrow(kernel, "doc_id bigint, toxic int, buckets binary").collect(), key=lambda r: (r.doc_id, r.toxic, r.buckets))
     sizes = [len(r.buckets) // 4 for r in rows]
-    bucket = np.frombuffer(b"".join(r.buckets for r in rows), "<u4").astype(np.int64)
-    return fit(np.repeat(np.arange(len(rows)), sizes), bucket, np.array([r.toxic for r in rows], np.int64))
+    label = np.array([r.toxic for r in rows], np.int64)
+    bucket = np.frombuffer(b"".join(r.buckets for r in rows), "<i4")
+    del rows
+    return fit(np.repeat(np.arange(len(sizes), dtype=np.int32), sizes), bucket, label)
 
 
 def scored(docs: DataFrame, machine: Machine) -> DataFrame:
