@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from graphonic.llm.common import table, written
 from graphonic.llm.decontaminate import clean
 from graphonic.llm.packing import pack
-from graphonic.llm.simhash import near_duplicates
+from graphonic.llm.simhash import similar
 from graphonic.llm.toxicity import accepted, learned
 
 
@@ -22,7 +22,7 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The smallest doc_id of each group of near-duplicates."""
-    groups = near_duplicates(docs)
+    groups = similar(docs)
     drop = groups.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
     return docs.join(drop, "doc_id", "left_anti").select(docs.columns)
 

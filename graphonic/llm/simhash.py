@@ -32,21 +32,24 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, SOLID, ragged, slices, spans, table, text_bytes, written
+from .common import LOWER, SOLID, mixed, ragged, slices, spans, table, text_bytes, written
 
 SHINGLE, SEED, THRESHOLD = 3, 42, 2
+#: For ``similar``: fingerprints of a text, excess over the covering radius, differing bits of all fingerprints together.
+PRINTS, EXCESS, MOST_BITS = 6, 1, 44
+#: Rows of one anchor up to which all pairs are compared; beyond, rows are compared with leaders.
+ALL_PAIRS = 16
 RADIUS, BLOCK, BLOCKS = 3, 23, 2
 #: Generator polynomial of the binary Golay code, x^11+x^9+x^7+x^6+x^5+x+1 (fixed value).
 GENERATOR = 0b101011100011
 
 
-def fingerprints(column: pa.Array, n: int = SHINGLE) -> np.ndarray:
-    """The 64-bit SimHash of each text of a column."""
+def _shingles(column: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """XXH64 of each shingle of each text, and how many shingles each text has."""
     raw, offsets = text_bytes(column)
     start, end, first = spans(SOLID[raw], offsets)
-    out = np.zeros(len(offsets) - 1, np.uint64)
     if not len(start):
-        return out
+        return np.zeros(0, np.uint64), np.zeros(len(offsets) - 1, np.int64)
     # The words again, each followed by one space: a shingle is then a plain slice.
     size = end - start
     to = np.cumsum(size + 1)
@@ -58,17 +61,34 @@ def fingerprints(column: pa.Array, n: int = SHINGLE) -> np.ndarray:
     last = begin + np.repeat(np.minimum(words, n), count) - 1
     data, digest = joined.tobytes(), xxhash.xxh64_intdigest
     h = np.fromiter((digest(data[a:b], SEED) for a, b in zip((to[begin] - size[begin] - 1).tolist(), (to[last] - 1).tolist())), np.uint64, len(begin))
+    return h, count
+
+
+def _majority(h: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """For each text the bits that are set in over half of its hashes."""
+    out = np.zeros(len(count), np.uint64)
     at = np.cumsum(count) - count
-    for k in range(0, len(out)):
-        if m := int(count[k]):
-            votes = np.zeros(64, np.int64)
-            for a in range(int(at[k]), int(at[k]) + m, 65536):
-                bits = np.unpackbits(h[a : min(a + 65536, int(at[k]) + m)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-                votes += bits.sum(axis=0, dtype=np.int64)
-            out[k] = np.packbits(votes * 2 > m, bitorder="little").view(np.uint64)[0]
+    for k in np.flatnonzero(count).tolist():
+        m = int(count[k])
+        votes = np.zeros(64, np.int64)
+        for a in range(int(at[k]), int(at[k]) + m, 65536):
+            bits = np.unpackbits(h[a : min(a + 65536, int(at[k]) + m)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+            votes += bits.sum(axis=0, dtype=np.int64)
+        out[k] = np.packbits(votes * 2 > m, bitorder="little").view(np.uint64)[0]
     return out
 
 
+def fingerprints(column: pa.Array, n: int = SHINGLE) -> np.ndarray:
+    """The 64-bit SimHash of each text of a column."""
+    return _majority(*_shingles(column, n))
+
+
+def several_fingerprints(column: pa.Array, prints: int, n: int = SHINGLE) -> np.ndarray:
+    """Several independent SimHashes of each text, a row a text: the shingles' hashes are mixed anew for each."""
+    h, count = _shingles(column, n)
+    return np.stack([_majority(mixed(h + np.uint64(k * 0x9E3779B97F4A7C15 & (1 << 64) - 1)) if k else h, count) for k in range(prints)], axis=1)
+
+
 @lru_cache(1)
 def coset_table() -> tuple[np.ndarray, np.ndarray, list[tuple[np.ndarray, np.ndarray, np.ndarray]]]:
     """Syndromes of byte-sized parts, coset leaders, and by excess 0..2 the further error words of each syndrome.
@@ -201,6 +221,100 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, threshold: int = TH
     return own.join(named, "fp", "left")
 
 
+class _Forest:
+    """Union-find that says which links join what was apart."""
+
+    def __init__(self) -> None:
+        self.parent: dict[int, int] = {}
+
+    def root(self, x: int) -> int:
+        parent = self.parent
+        while (p := parent.setdefault(x, x)) != x:
+            parent[x] = x = parent[p]
+        return x
+
+    def joins(self, a: int, b: int) -> bool:
+        a, b = self.root(a), self.root(b)
+        if a != b:
+            self.parent[max(a, b)] = min(a, b)
+        return a != b
+
+
+def _close_rows(key: np.ndarray, fps: np.ndarray, most: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of rows of one anchor whose fingerprints differ in at most ``most`` bits; rows are sorted by key."""
+    begin = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+    size = np.diff(np.r_[begin, len(key)])
+    small = np.repeat(size <= ALL_PAIRS, size)
+    for shift in range(1, min(ALL_PAIRS, int(size.max()))):
+        i = np.flatnonzero((key[shift:] == key[:-shift]) & small[shift:])
+        if not len(i):
+            break
+        i = i[np.bitwise_count(fps[i] ^ fps[i + shift]).sum(axis=1, dtype=np.int64) <= most]
+        yield i, i + shift
+    for k in np.flatnonzero(size > ALL_PAIRS).tolist():
+        left = np.arange(begin[k], begin[k] + size[k])
+        while len(left) > 1:
+            near = np.bitwise_count(fps[left[1:]] ^ fps[left[0]]).sum(axis=1, dtype=np.int64) <= most
+            yield np.full(int(near.sum()), left[0]), left[1:][near]
+            left = left[1:][~near]
+
+
+def similar(docs: DataFrame, shingle: int = SHINGLE, prints: int = PRINTS, excess: int = EXCESS, most_bits: int = MOST_BITS) -> DataFrame:
+    """doc_id and component_id (the smallest doc_id of its group) of each row, for near copies beyond a few bits.
+
+    Each text has several independent fingerprints.  Two texts are compared
+    where any of them share an anchor within covering radius plus excess, and
+    linked if all fingerprints together differ in at most ``most_bits`` bits,
+    which estimates their similarity far more closely than one fingerprint
+    does.  A task sends on only links that join what it had apart.  Copies
+    share all fingerprints and are one row.
+    """
+
+    def fingerprinted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in slices(whole, "text"):
+                fps = several_fingerprints(batch.column(1), prints, shingle).view(np.int64)
+                yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, np.ascontiguousarray(fps.T))], names=["doc_id", *names])
+
+    def anchored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 2000):
+                part = batch.slice(at, 2000)
+                for f in range(prints):
+                    row, anchor = covering(part.column(f).to_numpy(zero_copy_only=False).view(np.uint64), excess)
+                    take = pa.array(row)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.int64(f) << np.int64(2 * BLOCK) | anchor), *(part.column(k).take(take) for k in range(prints + 1))], names=["key", *names, "rep"])
+
+    def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forest, held = _Forest(), None
+
+        def links_of(rows: np.ndarray) -> pa.RecordBatch:
+            found = [(a, b) for i, j in _close_rows(rows[:, 0], rows[:, 1:-1].view(np.uint64), most_bits) for a, b in zip(rows[i, -1].tolist(), rows[j, -1].tolist()) if forest.joins(a, b)]
+            return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+        for batch in batches:
+            rows = np.stack([batch.column(k).to_numpy(zero_copy_only=False) for k in range(prints + 2)], axis=1)
+            rows = rows if held is None else np.concatenate([held, rows])
+            if not len(rows):
+                continue
+            whole = int(np.searchsorted(rows[:, 0], rows[-1, 0]))  # the last anchor may go on
+            if whole:
+                yield links_of(np.ascontiguousarray(rows[:whole]))
+            held = rows[whole:]
+        if held is not None and len(held):
+            yield links_of(np.ascontiguousarray(held))
+
+    names = [f"f{k}" for k in range(prints)]
+    columns = ", ".join(f"{x} bigint" for x in names)
+    own = written(docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(fingerprinted, f"doc_id bigint, {columns}"), "fingerprints")
+    distinct = written(own.groupBy(*names).agg(F.min("doc_id").alias("rep")), "distinct")
+    rows = distinct.select(*names, "rep").mapInArrow(anchored, f"key bigint, {columns}, rep bigint")
+    edges = rows.repartition(F.col("key")).sortWithinPartitions("key").mapInArrow(linked, "a bigint, b bigint")
+    found = components(edges)
+    named = distinct.join(found, distinct.rep == found.node, "left").select(*names, F.coalesce("component", "rep").alias("component_id"))
+    return own.join(named, names).select("doc_id", "component_id")
+
+
 def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and component of every document."""
     found = near_duplicates(table(spark, sf_dir, "documents", "doc_id", "text"))

@@ -2,7 +2,7 @@ import corpus_pipeline
 from graphonic.llm import decontaminate, simhash, toxicity
 
 from .test_decontaminate import brute
-from .test_simhash import components
+from .test_simhash import groups
 
 
 def test_stages_in_order(spark, sf):
@@ -11,7 +11,8 @@ def test_stages_in_order(spark, sf):
     labels = spark.read.parquet(f"{sf}/labels.parquet")
     score = {r.doc_id: r.score for r in toxicity.scored(documents, toxicity.learned(documents, labels)).collect()}
     now = [(r.doc_id, r.text) for r in documents.collect() if score[r.doc_id] < 0.5]
-    now = [(i, t) for (i, t), (_, _, c) in zip(sorted(now), components(now)) if i == c]
+    group = groups(sorted(now))
+    now = [(i, t) for i, t in now if group[i] == i]
     bench = [(str(r.item_id), r.text) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
     want = {x[0] for x in brute(now, bench) if not x[5]}
     assert {r.doc_id for r in corpus_pipeline.run(spark, sf).select("doc_id").distinct().collect()} == want

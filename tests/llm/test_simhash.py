@@ -76,3 +76,44 @@ def test_fingerprints_of_sliced_and_null_columns():
     texts = ["one two three four", None, "", "a", "ÀB c", "x " * 50]
     column = pa.array(["skip", *texts]).slice(1)
     assert s.fingerprints(column).tolist() == [fingerprint(t) for t in texts]
+
+
+def groups(pairs):
+    """Brute force of ``similar``: every pair that shares an anchor in some fingerprint and differs in few bits of all."""
+    ids = [i for i, _ in pairs]
+    fps = s.several_fingerprints(pa.array([t for _, t in pairs], pa.string()), s.PRINTS)
+    met = [[set() for _ in ids] for _ in range(s.PRINTS)]
+    for f in range(s.PRINTS):
+        for row, anchor in zip(*(x.tolist() for x in s.covering(np.ascontiguousarray(fps[:, f]), s.EXCESS))):
+            met[f][row].add(anchor)
+    group = {i: i for i in ids}
+    linked = [(ids[a], ids[b]) for a in range(len(ids)) for b in range(a) if int(np.bitwise_count(fps[a] ^ fps[b]).sum()) <= s.MOST_BITS and any(met[f][a] & met[f][b] for f in range(s.PRINTS))]
+    changed = True
+    while changed:
+        changed = False
+        for a, b in linked:
+            if group[a] != group[b]:
+                group[a] = group[b] = min(group[a], group[b])
+                changed = True
+    return group
+
+
+def test_similar_equals_brute_force(spark):
+    rng = random.Random(6)
+    base = [" ".join(f"t{rng.randint(0, 400)}" for _ in range(150)) for _ in range(12)]
+    near = [" ".join("new" if k == i else w for k, w in enumerate(t.split())) for i, t in enumerate(base)]
+    pairs = sorted([(r.doc_id, r.text) for r in docs(spark).collect()] + [(1000 + i, t) for i, t in enumerate(base + near)])
+    df = spark.createDataFrame(pairs, "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r.component_id for r in s.similar(df).collect()}
+    assert got == groups(pairs)
+    assert all(got[1000 + i] == got[1012 + i] for i in range(12)) and len({got[1000 + i] for i in range(12)}) == 12
+    assert s.similar(empty(spark)).count() == 0
+
+
+def test_many_near_copies_at_one_anchor(spark):
+    """More rows of one anchor than are compared pair by pair."""
+    rng = random.Random(9)
+    words = [f"t{rng.randint(0, 5000)}" for _ in range(400)]
+    texts = [" ".join(w if k != i else "new" for k, w in enumerate(words)) for i in range(120)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(500 + i, texts[0]) for i in range(50)], "doc_id long, text string")
+    assert {r.component_id for r in s.similar(df).collect()} == {0}
