@@ -16,9 +16,11 @@ import re
 import numpy as np
 
 #: Pieces remembered by one worker in each of two generations; the older one goes when the newer is full.
-REMEMBERED = 600_000
+REMEMBERED = 900_000
 _WHOLE = re.compile(r" (?<!\S )| (?!\S)|[\x1c-\x1f\x85]")
 _COARSE = re.compile(r"[,.](?<![0-9A-Za-zÀ-ÖØ-öø-įı-ɏЀ-џ][,.])|\n(?<!\S\n)|\n(?!\S)")
+#: A letter beyond Latin: up to there lower case is the same letter by letter in any library.
+_WIDE = re.compile("[^\x00-\u024f]")
 
 
 def vocabulary(name: str) -> str:
@@ -42,6 +44,9 @@ class Encoder:
         self.mark = "<|endoftext|>"  # only between pieces: apart knows it as one token
         self.mark_id = self.apart.token_to_id(self.mark)
         self.end = b"" if end is None else np.array([end], "<u4").tobytes()
+        ids = lambda x: self.model.encode(x, add_special_tokens=False).ids
+        #: Whether the vocabulary ignores case and drops white space, so that pieces can be folded.
+        self.folds = ids("A b\nC") == ids("a") + ids("B") + ids("c")
         self.known: dict[str, bytes] = {"": b""}
         self.older: dict[str, bytes] = {}
 
@@ -80,17 +85,19 @@ class Encoder:
         get = self.known.__getitem__
         return [(self.whole(text) if pieces is None else b"".join(map(get, pieces))) + self.end for text, pieces in zip(texts, cut)]
 
-    @staticmethod
-    def pieces(text: str | None) -> list[str] | None:
+    def pieces(self, text: str | None) -> list[str] | None:
         """A text cut at its exact places; None if it is to be encoded as a whole."""
         if not text:
             return []
         if _WHOLE.search(text):
             return None
         fine = not _COARSE.search(text)
-        text = text.replace(" ", "\x1f ")
+        if self.folds and not _WIDE.search(text):
+            text, line = text.lower().replace(" ", "\x1f"), "\x1f"
+        else:
+            text, line = text.replace(" ", "\x1f "), "\x1f\n\x1f"
         if fine:
-            text = text.replace(",", "\x1f,").replace(".", "\x1f.").replace("\n", "\x1f\n\x1f")
+            text = text.replace(",", "\x1f,").replace(".", "\x1f.").replace("\n", line)
         return text.split("\x1f")
 
 
