@@ -308,6 +308,8 @@ class Engine:
             ipa = unicodedata.normalize("NFC", ipa)
             if ipa not in found:
                 found.append(ipa)
+                if len(found) >= k:
+                    break
         found = found or [""]
         return Reading(word, found[0], coverage, confidence * coverage, tuple(found[:k]), unmapped)
 

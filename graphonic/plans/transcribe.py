@@ -22,7 +22,7 @@ from ..sources.readers import table
 REMEMBERED = 200_000
 _WORD = re.compile(r"[^\W\d_]+")
 _ENGINES: dict[str, e.Engine | None] = {}
-_READ: dict[tuple[str, str], e.Reading] = {}
+_READ: dict[tuple[str, str, int], e.Reading] = {}
 
 
 def engine(lang: str | None) -> e.Engine | None:
@@ -34,14 +34,14 @@ def engine(lang: str | None) -> e.Engine | None:
     return _ENGINES[lang]
 
 
-def read_word(lang: str, word: str) -> e.Reading:
-    """A word's reading, remembered; an unknown language reads a word as itself, with coverage 0."""
-    found = _READ.get((lang, word))
+def read_word(lang: str, word: str, k: int = 1) -> e.Reading:
+    """A word's k best readings, remembered; an unknown language reads a word as itself, with coverage 0."""
+    found = _READ.get((lang, word, k))
     if found is None:
         if len(_READ) > REMEMBERED:
             _READ.clear()
         own = engine(lang)
-        found = _READ[lang, word] = own.read(word) if own else e.Reading(word, word, 0.0, 0.0, (word,), word)
+        found = _READ[lang, word, k] = own.read(word, k) if own else e.Reading(word, word, 0.0, 0.0, (word,), word)
     return found
 
 
@@ -55,9 +55,17 @@ def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([("doc_id", pa.int64()), ("ipa", pa.string()), ("n_words", pa.int64()), ("coverage", pa.float64()), ("confidence", pa.float64())]))
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A small batch table read as fewer partitions than there are cores is dealt over the cores; others stay in place."""
+    if df.isStreaming:
+        return df
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def transcribe(docs: DataFrame) -> DataFrame:
     """doc_id, ipa, n_words, coverage, confidence of each row; docs has doc_id, lang, text (batch or stream)."""
-    return docs.select("doc_id", "lang", "text").mapInArrow(_documents, "doc_id bigint, ipa string, n_words bigint, coverage double, confidence double")
+    return spread(docs.select("doc_id", "lang", "text")).mapInArrow(_documents, "doc_id bigint, ipa string, n_words bigint, coverage double, confidence double")
 
 
 def candidates(words: DataFrame, k: int = 3) -> DataFrame:
@@ -67,7 +75,7 @@ def candidates(words: DataFrame, k: int = 3) -> DataFrame:
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [(lang, w, i, ipa) for lang, w in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for i, ipa in enumerate(read_word(lang, w).candidates[:k], 1)]
+            rows = [(lang, w, i, ipa) for lang, w in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for i, ipa in enumerate(read_word(lang, w, k).candidates, 1)]
             yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], t) for j, t in enumerate((pa.string(), pa.string(), pa.int32(), pa.string()))], names=["lang", "word", "rank", "ipa"])
 
     return words.select("lang", "word").mapInArrow(kernel, "lang string, word string, rank int, ipa string")
