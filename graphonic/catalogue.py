@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from .operators import distances, language_models, words
+from .operators import distances, language_models, prosody, words
 from .plans import transcribe
 
-QUERIES: dict = {**transcribe.QUERIES, **words.QUERIES, **distances.QUERIES, **language_models.QUERIES}
-ORACLE_SQL: dict = {**words.ORACLE_SQL, **distances.ORACLE_SQL, **language_models.ORACLE_SQL}
+QUERIES: dict = {**transcribe.QUERIES, **words.QUERIES, **distances.QUERIES, **language_models.QUERIES, **prosody.QUERIES}
+ORACLE_SQL: dict = {**words.ORACLE_SQL, **distances.ORACLE_SQL, **language_models.ORACLE_SQL, **prosody.ORACLE_SQL}
