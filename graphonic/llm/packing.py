@@ -31,6 +31,8 @@ from .common import slices, table, written
 from .tokens import encoder
 
 LENGTH, OPEN, LEAST_PIECE, MERGE_ROWS = 2048, 16, 16, 16_000
+#: Pieces that a worker remembers in each generation: less than the default, for workers that other stages share.
+REMEMBERED = 400_000
 
 SCHEMA = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint, open boolean"
 _ARROW = pa.schema([*((x, pa.int64()) for x in ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")), ("open", pa.bool_())])
@@ -76,7 +78,7 @@ def _task() -> int:
 
 def _first_round(name: str, end: int, length: int, most: int, least: int):
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, windows, base = encoder(name, end).encode, Windows(length, most), _task() << 32
+        encode, windows, base = encoder(name, end, REMEMBERED).encode, Windows(length, most), _task() << 32
         rows: list[tuple] = []
 
         def emit(window: tuple[int, list] | None, is_open: bool = False) -> None:

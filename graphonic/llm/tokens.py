@@ -35,7 +35,8 @@ def vocabulary(name: str) -> str:
 class Encoder:
     """Ids of texts as unsigned 32-bit arrays."""
 
-    def __init__(self, name: str, end: int | None = 1):
+    def __init__(self, name: str, end: int | None = 1, remembered: int | None = None):
+        self.remembered = remembered
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -73,7 +74,7 @@ class Encoder:
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text (null: empty), with the end id."""
         cut = [self.pieces(x) for x in texts]
-        if len(self.known) > REMEMBERED:
+        if len(self.known) > (self.remembered or REMEMBERED):
             self.older, self.known = self.known, {"": b""}
         missing = []
         for x in set().union(*(x for x in cut if x)).difference(self.known):
@@ -101,11 +102,12 @@ class Encoder:
         return text.split("\x1f")
 
 
-_ENCODERS: dict[tuple[str, int | None], Encoder] = {}
+_ENCODERS: dict[tuple[str, int | None, int | None], Encoder] = {}
 
 
-def encoder(name: str, end: int | None = 1) -> Encoder:
+def encoder(name: str, end: int | None = 1, remembered: int | None = None) -> Encoder:
     """One encoder per worker process and vocabulary."""
-    if (name, end) not in _ENCODERS:
-        _ENCODERS[name, end] = Encoder(name, end)
-    return _ENCODERS[name, end]
+    key = name, end, remembered
+    if key not in _ENCODERS:
+        _ENCODERS[key] = Encoder(name, end, remembered)
+    return _ENCODERS[key]

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from .common import ALNUM, LOWER, byte_prefix, slices, span_hash, spans, table, text_bytes
 
-SAMPLE, BUCKETS, FEATURES, FACTORS, EPOCHS = 12_000, 1 << 20, 2048, 8, 12
+SAMPLE, BUCKETS, FEATURES, FACTORS, EPOCHS = 9_000, 1 << 20, 2048, 8, 12
 #: Lengths, in bytes, of the beginnings of words that are terms beside the words.
 BEGINNINGS = (3, 4, 5, 6)
 
