@@ -264,6 +264,8 @@ class Engine:
     spec: Spec
     width: int = 8
     rescore: Callable[[list[list[Candidate]], list[Token]], list[list[Candidate]]] | None = None
+    #: A user's syllabifier of readings: (ipa, language code) to pieces; pieces that do not join to the reading are not taken.
+    syllabify: Callable[[str, str], Sequence[str]] | None = None
 
     def lattice(self, word: str) -> tuple[list[Token], list[list[Candidate]]]:
         tokens = tokenize(word, self.spec)
@@ -275,12 +277,24 @@ class Engine:
         segments = collapse([s for s in segments if s])
         if word in self.spec.clitics:
             return "".join(segments)
-        sylls = syllables(segments)
+        sylls = self.divided(segments)
         if len(sylls) < 2:
             return "".join(segments)
         at = stress_index(sylls, self.spec)
         return "".join(("ˈ" if k == at else "") + "".join(s) for k, s in enumerate(sylls))
 
+    def divided(self, segments: Sequence[str]) -> list[list[str]]:
+        """Syllables by the user's stage; the library's own where it fails or rewrites."""
+        if self.syllabify is not None:
+            ipa = "".join(segments)
+            try:
+                given = list(self.syllabify(ipa, self.spec.code))
+                if given and "".join(given) == ipa:
+                    return [segment_ipa(s) for s in given]
+            except Exception:  # a user's stage: any failure means the library's own answer
+                pass
+        return syllables(segments)
+
     def ending(self, word: str) -> tuple[str, str] | None:
         """The longest declared ending that leaves a head."""
         for n in range(len(word) - 1, 0, -1):
