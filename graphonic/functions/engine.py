@@ -10,7 +10,7 @@ from __future__ import annotations
 import math
 import unicodedata
 from collections.abc import Callable, Mapping, Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from functools import cached_property
 
 from .phones import is_vowel, segment_ipa
@@ -18,6 +18,8 @@ from .phones import is_vowel, segment_ipa
 FRONT = frozenset("eiéèêíëïyäöü")
 VOWEL_LETTERS = frozenset("aeiouyáéíóúàèìòùâêîôûäëïöüãõæœø")
 FLOOR = 1e-6
+#: The combining nasal mark.
+NASAL = "\u0303"
 
 
 @dataclass(frozen=True)
@@ -48,6 +50,18 @@ class Rule:
     before: str | None = None
 
 
+@dataclass(frozen=True)
+class Abugida:
+    """How consonant letters get their vowels: the inherent vowel and signs beyond the combining ones."""
+
+    inherent: str
+    final: str | None = None
+    dependent: frozenset[str] = frozenset()
+    preposed: frozenset[str] = frozenset()
+    #: Whether a consonant after a vowel closes its syllable instead of opening one.
+    bare_codas: bool = False
+
+
 @dataclass(frozen=True)
 class Spec:
     """What the kernel knows of a language."""
@@ -61,6 +75,9 @@ class Spec:
     lexicon: Mapping[str, str] = field(default_factory=dict)
     stress: str = "penult"
     clitics: frozenset[str] = frozenset()
+    abugida: Abugida | None = None
+    #: Graphemes whose last letter goes to the next syllable before a vowel letter.
+    glide_backoff: frozenset[str] = frozenset()
 
     @cached_property
     def by_length(self) -> list[int]:
@@ -84,6 +101,33 @@ def kind_of(c: str) -> str:
     return "UNKNOWN"
 
 
+def _taken(low: str, at: int, n: int, spec: Spec, before: Sequence[Token]) -> int:
+    """How many letters of a grapheme stay together.
+
+    A listed grapheme gives up its last letter before a vowel letter.  One in -u or -i after a consonant letter gives it
+    up where its reading has no vowel and none follows, and where it is read as a glide between a vowel and a back vowel
+    with which the letter has a grapheme of its own.
+    """
+    key, after = low[at : at + n], low[at + n : at + n + 1]
+    if n < 2 or key[:-1] not in spec.graphemes or key[-1] not in spec.graphemes:
+        return n
+    vowel_follows = bool(after) and after in VOWEL_LETTERS
+    if key in spec.glide_backoff and vowel_follows:
+        return n - 1
+    if key[-1] not in "ui" or key[0] in VOWEL_LETTERS:
+        return n
+    places = spec.positional.get(key, {})
+    if not vowel_follows:
+        reading = places.get("before_consonant" if after else "word_final")
+        if reading is None:
+            reading = places.get("default") or spec.graphemes[key]
+        return n if any(map(is_vowel, reading[0] if reading else "")) else n - 1
+    glide = (places.get("before_a") or places.get("before_back_vowel") or ("",))[0]
+    last = next((t.ipa[0] for t in reversed(before) if t.kind == "GRAPHEME" and t.ipa), "")
+    between = after not in FRONT and bool(last) and is_vowel(last[-1])
+    return n - 1 if between and set(glide) & set("wj") and key[-1] + after in spec.graphemes else n
+
+
 def tokenize(text: str, spec: Spec) -> list[Token]:
     """Longest graphemes first; what no grapheme claims is a token of one character."""
     text = unicodedata.normalize("NFC", text)
@@ -94,7 +138,8 @@ def tokenize(text: str, spec: Spec) -> list[Token]:
         for n in spec.by_length:
             found = spec.graphemes.get(low[at : at + n])
             if found is not None and at + n <= len(text):
-                out.append(Token("GRAPHEME", low[at : at + n], tuple(found), at, n))
+                n = _taken(low, at, n, spec, out)
+                out.append(Token("GRAPHEME", low[at : at + n], tuple(spec.graphemes[low[at : at + n]]), at, n))
                 at += n
                 break
         else:
@@ -104,6 +149,57 @@ def tokenize(text: str, spec: Spec) -> list[Token]:
             else:
                 out.append(Token(kind_of(text[at]), text[at], (), at, 1))
             at += 1
+    return with_vowels(out, spec.abugida) if spec.abugida else out
+
+
+def _vowel_first(t: Token) -> bool:
+    return bool(t.ipa and t.ipa[0]) and is_vowel(t.ipa[0][0])
+
+
+def _sounds_consonant(t: Token, a: Abugida) -> bool:
+    return t.kind == "GRAPHEME" and bool(t.ipa and t.ipa[0]) and not _vowel_first(t) and t.grapheme not in a.dependent | a.preposed
+
+
+def _is_sign(t: Token, a: Abugida) -> bool:
+    """Whether a token writes the vowel of the consonant before it."""
+    return t.kind == "GRAPHEME" and _vowel_first(t) and (t.grapheme in a.dependent or unicodedata.category(t.grapheme[0]) in ("Mn", "Mc"))
+
+
+def with_vowels(tokens: Sequence[Token], a: Abugida) -> list[Token]:
+    """Give consonant tokens their vowels.
+
+    A virama joins its consonant and silences the inherent vowel; a sign replaces it; a vowel written before a consonant
+    is read after it, or, where a sign follows too, only by that sign.
+    """
+    out: list[Token] = []
+    nucleus = False  # whether the syllable so far has its vowel
+    k = 0
+    while k < len(tokens):
+        t = tokens[k]
+        after = tokens[k + 1] if k + 1 < len(tokens) else None
+        if t.grapheme in a.preposed and after and _sounds_consonant(after, a):
+            tail = k + 2 < len(tokens) and _is_sign(tokens[k + 2], a)
+            out += [replace(t, ipa=()), after if tail else replace(after, ipa=tuple(c + v for c in after.ipa for v in t.ipa))]
+            nucleus = not tail
+            k += 2
+        elif not _sounds_consonant(t, a):
+            out.append(t)
+            nucleus = t.kind == "GRAPHEME" and (_vowel_first(t) or nucleus and not any(t.ipa))
+            k += 1
+        elif after and len(after.grapheme) == 1 and unicodedata.combining(after.grapheme) == 9:
+            out.append(replace(t, grapheme=t.grapheme + after.grapheme, length=t.length + after.length))
+            nucleus = False
+            k += 2
+        else:
+            last = after is None or after.kind != "GRAPHEME"
+            if not (after and _is_sign(after, a)) and not (a.bare_codas and nucleus):
+                vowel = a.final if last and a.final is not None and nucleus else a.inherent
+                t = replace(t, ipa=tuple(x + vowel for x in t.ipa))
+                nucleus = bool(vowel)
+            else:
+                nucleus = False
+            out.append(t)
+            k += 1
     return out
 
 
@@ -149,12 +245,52 @@ def branches(tokens: Sequence[Token], k: int, spec: Spec) -> list[Candidate]:
     return sorted((Candidate(i, c) for i, c in best.items()), key=lambda x: (x.cost, x.ipa))
 
 
+def carries(ipa: str) -> bool:
+    """Whether a reading ends in a vowel or glide, marks aside, on which a nasal mark can be written."""
+    at = _mark_place(ipa)
+    return at > 0 and (ipa[at - 1] in "wjɥɰ" or is_vowel(ipa[at - 1]))
+
+
+def _mark_place(ipa: str) -> int:
+    """Where a nasal mark goes: after the last letter, before its length and other marks."""
+    at = len(ipa)
+    while at and (ipa[at - 1] in "ːˑ" or ipa[at - 1] != NASAL and unicodedata.combining(ipa[at - 1])):
+        at -= 1
+    return at
+
+
+def _extended(path: tuple[str, ...], ipa: str) -> tuple[str, ...] | None:
+    """A path with one more reading; a bare nasal mark goes onto the last sounding one, None if that cannot carry it."""
+    if ipa != NASAL:
+        return (*path, ipa)
+    at = next((k for k in range(len(path) - 1, -1, -1) if path[k]), None)
+    if at is None or not carries(path[at]):
+        return None
+    held, place = path[at], _mark_place(path[at])
+    return (*path[:at], held[:place] + NASAL + held[place:], *path[at + 1 :], "")
+
+
+def nasal_carriers(slots: Sequence[Sequence[Candidate]]) -> list[list[Candidate]]:
+    """Before a slot that is a nasal mark alone, keep the readings that can carry it; silent ones pass the demand on."""
+    out = [list(s) for s in slots]
+    for k in range(1, len(out)):
+        if not out[k] or any(c.ipa != NASAL for c in out[k]):
+            continue
+        for j in range(k - 1, -1, -1):
+            silent = any(not c.ipa for c in out[j])
+            out[j] = [c for c in out[j] if not c.ipa or carries(c.ipa)] or out[j]
+            if not silent:
+                break
+    return out
+
+
 def beam(slots: Sequence[Sequence[Candidate]], width: int = 8) -> list[tuple[float, tuple[str, ...]]]:
     """The cheapest paths through the slots; ties keep the order in which they were made, then by spelling at the end."""
     paths: list[tuple[float, tuple[str, ...]]] = [(0.0, ())]
     for slot in slots:
         if slot:
-            paths = sorted(((s + c.cost, (*p, c.ipa)) for s, p in paths for c in slot), key=lambda x: x[0])[:width]
+            made = [(s + c.cost, q) for s, p in paths for c in slot if (q := _extended(p, c.ipa))]
+            paths = sorted(made or [(s + c.cost, (*p, c.ipa)) for s, p in paths for c in slot], key=lambda x: x[0])[:width]
     return sorted(paths, key=lambda x: (x[0], "".join(x[1])))
 
 
@@ -270,7 +406,7 @@ class Engine:
     def lattice(self, word: str) -> tuple[list[Token], list[list[Candidate]]]:
         tokens = tokenize(word, self.spec)
         graphemes = [t for t in tokens if t.kind == "GRAPHEME"]
-        slots = [branches(graphemes, k, self.spec) for k in range(len(graphemes))]
+        slots = nasal_carriers([branches(graphemes, k, self.spec) for k in range(len(graphemes))])
         return tokens, self.rescore(slots, graphemes) if self.rescore else slots
 
     def finalise(self, segments: Sequence[str], word: str) -> str:
