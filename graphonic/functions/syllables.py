@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import unicodedata
 from collections.abc import Callable, Collection, Sequence
+from dataclasses import dataclass
 from itertools import groupby
 
-from .engine import weight
+from .engine import VOWEL_LETTERS, weight
 from .phones import AT, is_vowel, segment_ipa, vector
 
 LONG, PRIMARY, SECONDARY = "ː", "ˈ", "ˌ"
@@ -72,6 +73,49 @@ def split_nuclei(run: str, diphthongs: Collection[str], hiatus: Collection[int]
     return out
 
 
+@dataclass(frozen=True)
+class ClosedHiatus:
+    """Pairs of vowels that stand apart before one of the onsets, or before a coda letter that no vowel follows."""
+
+    pairs: frozenset[str]
+    codas: frozenset[str] = frozenset()
+    onsets: tuple[str, ...] = ()
+
+
+@dataclass(frozen=True)
+class FinalDiphthongs:
+    """Diphthongs that stand apart from a vowel before them at the end of a word, bare or before one of the finals."""
+
+    diphthongs: tuple[str, ...]
+    finals: tuple[str, ...] = ()
+
+
+def hiatus_candidates(word: str, closed: ClosedHiatus | None = None, final: FinalDiphthongs | None = None, graphemes: Collection[str] = ()) -> set[int]:
+    """Places at which vowels may stand apart; a coda letter that begins a longer grapheme is none."""
+    low = word.lower()
+    vowel = lambda c: c != "" and c in VOWEL_LETTERS
+    found = set()
+    if closed:
+        longer = tuple(g for g in graphemes if len(g) > 1)
+        for k in (k for k in range(1, len(low)) if low[k - 1 : k + 1] in closed.pairs):
+            rest = low[k + 1 :]
+            coda = rest[:1] in closed.codas and not vowel(rest[1:2]) and not rest.startswith(longer)
+            if rest.startswith(closed.onsets) or coda:
+                found.add(k)
+    if final:
+        tails = [d + f for d in final.diphthongs for f in ("", *final.finals)]
+        found |= {len(low) - len(x) for x in tails if len(low) > len(x) and low.endswith(x) and vowel(low[-len(x) - 1])}
+    return found
+
+
+def hiatus_places(word: str, divide: Callable[[str, set[int]], Sequence[str]], stress: Callable[[Sequence[str]], int], candidates: set[int]) -> set[int]:
+    """The candidates at which, with all of them cut, the stressed syllable begins."""
+    if not candidates:
+        return set()
+    parts = divide(word, candidates)
+    return candidates & {sum(map(len, parts[: stress(parts)]))}
+
+
 def syllabify(word: str, nucleus: Callable[[str], bool], diphthongs: Collection[str] = (), hiatus: Collection[int] = ()) -> list[str]:
     """Every nucleus with all consonants before it; what follows the last nucleus closes its syllable.
 

@@ -25,7 +25,7 @@ SYSTEM = tones.ToneSystem({"k": "mid", "h": "high"}, {"1": "one"}, {("mid", "liv
 LECTS = Inline("lects", "tag string, parent string", (("xa-x-north", "xa"), ("xa-x-south", "xa"), ("xa-x-coast", "xa-x-south"), ("xa-x-port", "xa-x-coast"), ("xb-x-hill", "xb")))
 REGIONS = Inline("likely_regions", "tag string, region string", (("xa", "AA"), ("xb", "BB"), ("xb-Cyrl", "BC")))
 LECT_TAGS = Inline("lect_tags", "tag string", tuple((t,) for t in ("xa", "xa-x-north", "xa-x-coast", "xa-x-port", "xb", "xb-x-hill", "xb-Cyrl", "xa-ZZ", "xc")))
-SPECS = Inline("spec_files", "code string, text string", (("aa", '{"code": "aa", "name": "A", "script": "Latin", "clade": "yes", "allophone_passes": "2"}'), ("bb", '{"code": "bb", "extra": 1, "script": 3, "iso639_3": "BB1"}'), ("cc", '{"code": "cc", "name": "C", "script": "Latin", "location": {"lat": 91, "lon": "x"}, "quality": "great"}'), ("dd", "{")))
+SPECS = Inline("spec_files", "code string, text string", (("aa", '{"code": "aa", "name": "A", "script": "Latin", "clade": "yes", "allophone_passes": "2"}'), ("bb", '{"code": "bb", "extra": 1, "script": 3, "iso639_3": "BB1"}'), ("cc", '{"code": "cc", "name": "C", "script": "Latin", "location": {"latitude": 91, "longitude": "x"}, "quality": "great"}'), ("dd", "{")))
 
 
 def word_syllables(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -36,6 +36,33 @@ def test_nuclei_and_hiatus():
     assert y.syllabify("astra", is_vowel) == ["a", "stra"]
 
 
+def test_hiatus_places():
+    closed, final = y.ClosedHiatus(frozenset({"ai", "ui"}), frozenset("rl"), ("nh",)), y.FinalDiphthongs(("iu",), ("s",))
+    assert y.hiatus_candidates("rainha", closed) == {2}
+    assert y.hiatus_candidates("sair", closed) == {2} and y.hiatus_candidates("saira", closed) == set()
+    assert y.hiatus_candidates("sailho", closed, graphemes=["lh"]) == set()
+    assert y.hiatus_candidates("caiu", None, final) == y.hiatus_candidates("caius", None, final) == {2}
+    assert y.hiatus_candidates("") == y.hiatus_candidates("iu", None, final) == set()
+    divide = lambda w, places: y.syllabify(w, is_vowel, ["ai"], places)
+    assert y.hiatus_places("sair", divide, lambda parts: len(parts) - 1, {2}) == {2}
+    assert y.hiatus_places("sair", divide, lambda parts: 0, {2}) == set()
+
+
+def test_nested_models():
+    kinds = lambda **x: [(e[0], e[2]) for e in v.validate(__import__("json").dumps({"code": "a", "name": "A", "script": "Latin", **x}))]
+    rule = {"id": "r", "name": "R", "left_context": "", "right_context": ""}
+    assert kinds(sandhi_rules=[rule, {**rule, "transform": "x"}]) == [("sandhi_rules.0", "value_error")]
+    assert kinds(allophone_rules=[{"id": "", "phonemes": 3}]) == [("allophone_rules.0.id", "string_too_short"), ("allophone_rules.0.phonemes", "string_type")]
+    assert kinds(allophone_rules=[{"id": "r", "phonemes": "a", "surface": "b", "append": "c"}]) == [("allophone_rules.0", "value_error")]
+    assert kinds(allophone_rules=[{"id": "r", "phonemes": ["a"], "mutates_neighbor": "b"}]) == [("allophone_rules.0", "value_error")]
+    assert kinds(ancestors=[{"code": "b", "role": "parent", "weight": 2}]) == [("ancestors.0.weight", "value_error")]
+    assert kinds(timespan={"start_year": 1500, "end_year": "1400"}) == [("timespan.end_year", "value_error")]
+    assert kinds(timespan={"start_year": 1500, "end_year": None}) == []
+    assert kinds(sources=[{"id": "s", "author": "A", "year": 99, "title": "T", "doi": "x"}]) == [("sources.0.year", "value_error"), ("sources.0.doi", "value_error")]
+    assert kinds(valid_ceiling={"x": {"per": 1.5, "folded": "f", "citation": "c"}}) == [("valid_ceiling.x.per", "less_than_equal")]
+    assert kinds(audit={"x": {"conclusion": "no", "measured": "m", "reference": "r"}}) == [("audit.x.conclusion", "literal_error")]
+
+
 def test_onsets():
     assert y.rebalance(["a", "stra"]) == ["a", "stra"]
     assert y.rebalance(["a", "lta"]) == ["al", "ta"]
