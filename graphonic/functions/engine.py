@@ -138,7 +138,7 @@ def tokenize(text: str, spec: Spec) -> list[Token]:
         for n in spec.by_length:
             found = spec.graphemes.get(low[at : at + n])
             if found is not None and at + n <= len(text):
-                n = _taken(low, at, n, spec, out)
+                n = _taken(low, at, n, spec, out) if n > 1 else n
                 out.append(Token("GRAPHEME", low[at : at + n], tuple(spec.graphemes[low[at : at + n]]), at, n))
                 at += n
                 break
@@ -274,7 +274,7 @@ def nasal_carriers(slots: Sequence[Sequence[Candidate]]) -> list[list[Candidate]
     """Before a slot that is a nasal mark alone, keep the readings that can carry it; silent ones pass the demand on."""
     out = [list(s) for s in slots]
     for k in range(1, len(out)):
-        if not out[k] or any(c.ipa != NASAL for c in out[k]):
+        if not out[k] or out[k][0].ipa != NASAL or any(c.ipa != NASAL for c in out[k]):
             continue
         for j in range(k - 1, -1, -1):
             silent = any(not c.ipa for c in out[j])
@@ -289,7 +289,9 @@ def beam(slots: Sequence[Sequence[Candidate]], width: int = 8) -> list[tuple[flo
     paths: list[tuple[float, tuple[str, ...]]] = [(0.0, ())]
     for slot in slots:
         if slot:
-            made = [(s + c.cost, q) for s, p in paths for c in slot if (q := _extended(p, c.ipa))]
+            made = []
+            if any(c.ipa == NASAL for c in slot):
+                made = [(s + c.cost, q) for s, p in paths for c in slot if (q := _extended(p, c.ipa))]
             paths = sorted(made or [(s + c.cost, (*p, c.ipa)) for s, p in paths for c in slot], key=lambda x: x[0])[:width]
     return sorted(paths, key=lambda x: (x[0], "".join(x[1])))
 
