@@ -37,8 +37,10 @@ from .common import LOWER, SOLID, mixed, ragged, slices, spans, table, text_byte
 SHINGLE, SEED, THRESHOLD = 3, 42, 2
 #: For ``similar``: fingerprints of a text, excess over the covering radius, differing bits of all fingerprints together.
 PRINTS, EXCESS, MOST_BITS = 6, 1, 44
-#: Rows of one anchor up to which all pairs are compared; beyond, rows are compared with leaders.
+#: Rows of one anchor up to which all pairs are compared; beyond, what a row has reached is not compared with it again.
 ALL_PAIRS = 16
+#: Comparisons that one step within a large anchor works on.
+STEP = 1_000_000
 RADIUS, BLOCK, BLOCKS = 3, 23, 2
 #: Generator polynomial of the binary Golay code, x^11+x^9+x^7+x^6+x^5+x+1 (fixed value).
 GENERATOR = 0b101011100011
@@ -241,7 +243,13 @@ class _Forest:
 
 
 def _close_rows(key: np.ndarray, fps: np.ndarray, most: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of rows of one anchor whose fingerprints differ in at most ``most`` bits; rows are sorted by key."""
+    """Pairs of rows of one anchor whose fingerprints differ in at most ``most`` bits; rows are sorted by key.
+
+    At most ALL_PAIRS rows give all such pairs.  More give as many as join
+    them into the same groups: each row reached is in turn compared with all
+    rows that are not reached yet, so no pair that could join two groups is
+    left out, and a group of near copies of its first row costs one step.
+    """
     begin = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
     size = np.diff(np.r_[begin, len(key)])
     small = np.repeat(size <= ALL_PAIRS, size)
@@ -252,11 +260,20 @@ def _close_rows(key: np.ndarray, fps: np.ndarray, most: int) -> Iterator[tuple[n
         i = i[np.bitwise_count(fps[i] ^ fps[i + shift]).sum(axis=1, dtype=np.int64) <= most]
         yield i, i + shift
     for k in np.flatnonzero(size > ALL_PAIRS).tolist():
-        left = np.arange(begin[k], begin[k] + size[k])
-        while len(left) > 1:
-            near = np.bitwise_count(fps[left[1:]] ^ fps[left[0]]).sum(axis=1, dtype=np.int64) <= most
-            yield np.full(int(near.sum()), left[0]), left[1:][near]
-            left = left[1:][~near]
+        columns = np.ascontiguousarray(fps[begin[k] : begin[k] + size[k]].T)
+        left, reached = np.arange(size[k]), np.zeros(0, np.int64)
+        while len(left):
+            if not len(reached):
+                reached, left = left[:1], left[1:]
+            n = max(1, STEP // max(1, len(left)))
+            now, reached = reached[:n], reached[n:]
+            bits = np.zeros((len(now), len(left)), np.int16)
+            for column in columns:
+                bits += np.bitwise_count(column[now][:, None] ^ column[left])
+            near = bits <= most
+            hit = near.any(axis=0)
+            yield begin[k] + now[near.argmax(axis=0)[hit]], begin[k] + left[hit]
+            reached, left = np.concatenate([reached, left[hit]]), left[~hit]
 
 
 def similar(docs: DataFrame, shingle: int = SHINGLE, prints: int = PRINTS, excess: int = EXCESS, most_bits: int = MOST_BITS) -> DataFrame:

@@ -117,3 +117,26 @@ def test_many_near_copies_at_one_anchor(spark):
     texts = [" ".join(w if k != i else "new" for k, w in enumerate(words)) for i in range(120)]
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(500 + i, texts[0]) for i in range(50)], "doc_id long, text string")
     assert {r.component_id for r in s.similar(df).collect()} == {0}
+
+
+def test_rows_of_a_large_anchor_are_linked_through_each_other(monkeypatch):
+    """What is near a row that a leader has taken is linked, in any order of the rows."""
+    rng = np.random.default_rng(8)
+    for order in range(4):
+        fps = [rng.integers(0, 2**63, s.PRINTS, dtype=np.uint64) for _ in range(3)]
+        for k in range(177):  # chains: each row 30 bits from one before
+            row = fps[max(0, k - int(rng.integers(1, 9)))].copy()
+            for bit in rng.choice(64 * s.PRINTS, 30, replace=False).tolist():
+                row[bit // 64] ^= np.uint64(1 << bit % 64)
+            fps.append(row)
+        rows = np.array(fps)[rng.permutation(len(fps))]
+        close = np.bitwise_count(rows[:, None] ^ rows).sum(axis=2, dtype=np.int64) <= s.MOST_BITS
+        want, got = s._Forest(), s._Forest()
+        for a, b in np.argwhere(close).tolist():
+            want.joins(a, b)
+        monkeypatch.setattr(s, "STEP", 500 if order % 2 else 1_000_000, raising=False)
+        for i, j in s._close_rows(np.zeros(len(rows), np.int64), rows, s.MOST_BITS):
+            assert close[i, j].all()
+            for a, b in zip(i.tolist(), j.tolist()):
+                assert got.joins(a, b)
+        assert [got.root(x) for x in range(len(rows))] == [want.root(x) for x in range(len(rows))]
