@@ -14,7 +14,9 @@ first, so a host with a third of all pages sends one small wrapper a task.
 The wrapper then says which slot holds the article: its article-like element,
 or else the element that holds most of the host's variable text.  Menus,
 headers, footers, sidebars, notices, adverts, forms and comments are known by
-their tags, roles and class words; text outside paragraphs-like slots that is
+their tags, roles and class words.  The wrapper overrules class words: an
+element that holds most of the host's variable text stays, unless an article
+stands beside it (see ``overruled``).  Text outside paragraphs-like slots that is
 the same on all of several pages is template text.
 
 Defined results: a null or empty page gives an empty text; pages without a
@@ -58,6 +60,10 @@ DROPPED_WORDS = frozenset("ad ads adbox adslot adsense advert adverts advertisem
 ARTICLE_WORDS = frozenset("article articlebody post postbody entry story content maincontent bodytext main".split())
 _WORDS = re.compile(r"[A-Za-z][a-z]*|[A-Z]+")
 LEAST_PAGES = 3
+#: How an element is boilerplate: by a part of a class name, by a whole class name, by tag, role or attribute.
+PART, NAME, FIRM = 1, 2, 3
+#: Share of an element's variable text from which article-like text beside it lets its name stand.
+BESIDE = 0.1
 
 
 class Node:
@@ -65,31 +71,37 @@ class Node:
 
     __slots__ = ("key", "kids", "tag", "dropped", "article")
 
-    def __init__(self, tag: str, key: str, dropped: bool, article: bool):
+    def __init__(self, tag: str, key: str, dropped: int, article: bool):
         self.tag, self.key, self.dropped, self.article, self.kids = tag, key, dropped, article, []
 
 
-_SEEN: dict[tuple[str, str], tuple[str, bool, bool]] = {}
+_SEEN: dict[tuple[str, str], tuple[str, int, bool]] = {}
 
 
-def described(tag: str, attributes: str) -> tuple[str, bool, bool]:
-    """The key of an element, whether it is boilerplate by name, and whether it is article-like."""
+def described(tag: str, attributes: str) -> tuple[str, int, bool]:
+    """The key of an element, how it is boilerplate (0: not), and whether it is article-like but for that."""
     found = _SEEN.get((tag, attributes))
     if found is None:
-        words, role, hidden, prop = set(), "", False, ""
+        words, other, named, role, hidden, prop = set(), set(), 0, "", False, ""
         for name, a, b, c in ATTRIBUTE.findall(attributes):
             value, name = html.unescape(a or b or c), name.lower()
             if name in ("class", "id"):
-                words |= {w.lower() for w in _WORDS.findall(value)}
-                words |= {w.lower() for w in re.split(r"[^A-Za-z-]+", value) if w}
+                for name in value.split():
+                    parts = {w.lower() for w in (*_WORDS.findall(name), *re.split(r"[^A-Za-z-]+", name)) if w}
+                    words |= parts
+                    if parts & DROPPED_WORDS:
+                        named = max(named, NAME if name.lower() in DROPPED_WORDS else PART)
+                    else:
+                        other |= parts
             elif name == "role":
                 role = value.lower()
             elif name == "itemprop":
                 prop = value.lower()
             else:
                 hidden = hidden or name == "hidden" or value.lower() == "true"
-        dropped = tag in DROPPED_TAGS or role in DROPPED_ROLES or hidden or bool(words & DROPPED_WORDS and tag not in ("html", "body", "article", "main"))
-        article = not dropped and (tag in ("article", "main") or role in ("article", "main") or prop == "articlebody" or bool(words & ARTICLE_WORDS and tag in ("div", "section", "td")))
+        firm = tag in DROPPED_TAGS or role in DROPPED_ROLES or hidden
+        dropped = FIRM if firm else 0 if tag in ("html", "body", "article", "main") else named
+        article = not firm and (tag in ("article", "main") or role in ("article", "main") or prop == "articlebody" or bool((other if dropped else words) & ARTICLE_WORDS and tag in ("div", "section", "td")))
         key = f"{tag}.{'.'.join(sorted(words)[:8])}" if words and tag not in INLINE else tag
         found = key, dropped, article
         if len(_SEEN) > 50_000:
@@ -100,7 +112,7 @@ def described(tag: str, attributes: str) -> tuple[str, bool, bool]:
 
 def parse(source: str) -> Node:
     """The tree of a page."""
-    root = Node("", "", False, False)
+    root = Node("", "", 0, False)
     stack, at, low = [root], 0, None
     search = TOKEN.search
 
@@ -218,6 +230,48 @@ def folded(kids: list[list]) -> list[list]:
     return out + kids[at:]
 
 
+def overruled(wrapper: list) -> set[str]:
+    """Keys of elements that stay although a class word names them boilerplate; the wrapper is changed accordingly.
+
+    Such an element holds most of the host's variable text, and no article
+    stands beside it; or only a part of a class name is a listed word, and an
+    article-like element holds most of the text in it.
+    """
+    known: dict[int, int] = {}
+
+    def variable(w: list) -> int:
+        if id(w) not in known:
+            own = w[2] - sum(k[2] for k, _, _, _ in w[1] if not k[5])
+            constant = w[6] is not None and w[3] >= LEAST_PAGES
+            known[id(w)] = (0 if constant else own) + sum(variable(k) for k, _, _, _ in w[1] if k[5] < FIRM)
+        return known[id(w)]
+
+    def articles(w: list, without: list | None = None) -> int:
+        """Variable text in the largest article-like element below, without one element's."""
+        most = 0
+        for k, _, _, _ in w[1]:
+            if k is not without and not k[5]:
+                mine = variable(k) - (variable(without) if without is not None and any(k is x for x in chain) else 0)
+                most = max(most, mine if k[4] else 0, articles(k, without))
+        return most
+
+    total, now, chain, keys = variable(wrapper), wrapper, [wrapper], set()
+    while True:
+        most = next((k for k, _, _, _ in now[1] if k[5] < FIRM and 2 * variable(k) > total), None)
+        if most is None:
+            return keys
+        if most[5]:
+            inside = most[5] == PART and (most[4] or 2 * articles(most) > variable(most))
+            if not inside and articles(wrapper, most) >= BESIDE * variable(most):
+                return keys
+            keys.add(most[0])
+            most[5] = 0
+            for w in chain:
+                w[2] += most[2]
+        chain.append(most)
+        now = most
+
+
 def article_path(wrapper: list) -> list[str]:
     """Keys from the root's child to the element that holds the article."""
     best: tuple[int, list[str]] = (0, [])
@@ -262,11 +316,12 @@ def template_texts(wrapper: list, path: list[str]) -> set[tuple[str, str]]:
     return found
 
 
-def text_of(root: Node, path: list[str], template: set[tuple[str, str]]) -> str:
-    """The article's text: blocks in page order, joined by one space."""
+def text_of(root: Node, path: list[str], template: set[tuple[str, str]], stays: set[str] = frozenset()) -> str:
+    """The article's text: blocks in page order, joined by one space; ``stays`` are the keys that the wrapper overrules."""
     tops = [root]
+    dropped = lambda kid: kid.dropped == FIRM or kid.dropped and kid.key not in stays
     for k, key in enumerate(path):
-        below = [kid for node in tops for kid in node.kids if not isinstance(kid, str) and kid.key == key and not kid.dropped]
+        below = [kid for node in tops for kid in node.kids if not isinstance(kid, str) and kid.key == key and not dropped(kid)]
         if not below:
             tops, path = [root], []
             break
@@ -277,7 +332,7 @@ def text_of(root: Node, path: list[str], template: set[tuple[str, str]]) -> str:
         for kid in node.kids:
             if isinstance(kid, str):
                 out.append(kid)
-            elif not kid.dropped and not (template and (kid.key, " ".join(x.strip() for x in kid.kids if isinstance(x, str) and x.strip())) in template):
+            elif not dropped(kid) and not (template and (kid.key, " ".join(x.strip() for x in kid.kids if isinstance(x, str) and x.strip())) in template):
                 inline = kid.tag in INLINE
                 if not inline:
                     out.append("\n")
@@ -381,7 +436,7 @@ def extract(pages: DataFrame, wrapper_bytes: int = WRAPPER_BYTES) -> DataFrame:
     with_wrapper = "wrapper" in pages.columns
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        plans: dict[str, tuple[list[str], set]] = {}
+        plans: dict[str, tuple[list[str], set, set]] = {}
         for whole in batches:
             for batch in slices(whole, "html"):
                 texts = []
@@ -392,8 +447,9 @@ def extract(pages: DataFrame, wrapper_bytes: int = WRAPPER_BYTES) -> DataFrame:
                         if len(plans) > 20_000:
                             plans.clear()
                         w = _deep(json.loads)(lookup(host, own))
+                        stays = _deep(overruled)(w) if w else set()
                         path = _deep(article_path)(w) if w else []
-                        plans[host] = path, _deep(template_texts)(w, path) if w else set()
+                        plans[host] = path, _deep(template_texts)(w, path) if w else set(), stays
                     texts.append(_deep(text_of)(tree(source or ""), *plans[host]))
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(x) for x in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 

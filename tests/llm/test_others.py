@@ -133,6 +133,24 @@ def test_wrappers_find_the_article(spark):
     assert html_wrappers.extract(df.where("false")).count() == 0
 
 
+def test_wrapper_overrules_names_of_containers(spark):
+    """An article's container stays whatever its class says; comments stay out, however long."""
+    around = [
+        "<div id='page' class='layout-sidebar-right'>{}<div class='sidebar'>s{i}</div></div>",
+        "<div class='post has-comments'>{}<div class='comments'>c{i}</div></div>",
+        "<section class='entry-content no-ads'>{}</section>",
+        "<div class='content-with-sidebar'>{}</div><div class='site-footer'>f{i}</div>",
+        "<div id='layout-sidebar-right'><article>{}</article></div>",
+        "<div class='widget'>{}</div>",
+        "<article>{}</article><div class='comments-area'>" + "<p>long {i} comment</p>" * 8 + "</div>",
+        "<main>{}<div class='comments'>" + "<p>long {i} comment</p>" * 8 + "</div></main>",
+        "<article>{}</article><div class='related'>" + "<article>other {i} text</article>" * 8 + "</div>",
+    ]
+    rows = [(100 * h + i, f"https://h{h}.example/{i}", page(x.replace("{}", f"<p>First words of page {i}</p><p>and {i} more of them</p>").replace("{i}", str(i)))) for h, x in enumerate(around) for i in range(5)]
+    got = {r.page_id: r.text for r in html_wrappers.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {100 * h + i: f"First words of page {i} and {i} more of them" for h in range(len(around)) for i in range(5)}
+
+
 def test_wrappers_stay_small():
     known = None
     rng = random.Random(1)
