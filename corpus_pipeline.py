@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphonic.llm.common import table, written
+from graphonic.llm.common import ROW, numbered, table, written
 from graphonic.llm.decontaminate import clean
 from graphonic.llm.packing import pack
 from graphonic.llm.simhash import similar
@@ -21,10 +21,12 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The smallest doc_id of each group of near-duplicates."""
-    groups = similar(docs)
-    drop = groups.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
-    return docs.join(drop, "doc_id", "left_anti").select(docs.columns)
+    """One row of each group of near-duplicates: that of the smallest doc_id, the first of several, null last."""
+    rows = numbered(docs, "rows")
+    groups = similar(rows.select(F.col(ROW).alias("doc_id"), "text")).withColumnRenamed("doc_id", ROW)
+    first = groups.join(rows.select(ROW, "doc_id"), ROW).groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", ROW)).alias("first"))
+    drop = groups.select(ROW).join(first.select(F.col(f"first.{ROW}").alias(ROW)), ROW, "left_anti")
+    return rows.join(drop, ROW, "left_anti").select(docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

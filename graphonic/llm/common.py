@@ -10,6 +10,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Bytes of text that one step of a vectorised kernel works on.
 KERNEL_BYTES = 2_000_000
@@ -62,6 +63,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: The column of ``numbered``.
+ROW = "graphonic_row"
+
+
+def numbered(df: DataFrame, name: str) -> DataFrame:
+    """df with a number of each row, written so that it stays the same however often the rows are read."""
+    return written(df.withColumn(ROW, F.monotonically_increasing_id()), name)
+
+
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The UTF-8 bytes of a string column and the offsets of its rows; null counts as empty."""
     if isinstance(column, pa.ChunkedArray):

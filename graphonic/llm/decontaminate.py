@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ALNUM, LOWER, byte_prefix, mixed, ragged, slices, span_hash, spans, table, text_bytes, written
+from .common import ALNUM, LOWER, ROW, byte_prefix, mixed, numbered, ragged, slices, span_hash, spans, table, text_bytes, written
 
 WINDOW, KGRAM = 10, 5
 BROADCAST_BYTES = 32_000_000
@@ -183,12 +183,14 @@ def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, k: int =
     """The rows of docs, with all their columns, in which no benchmark window occurs.
 
     Within the broadcast bound rows are dropped where they are read; beyond it
-    the contaminated doc_ids are joined away.
+    the contaminated rows are joined away by a written row number, so rows
+    without a doc_id, or that share one, are judged one by one either way.
     """
     bench = _usable(benchmark)
     if _size(bench) > broadcast_bytes:
-        found = decontaminate(docs, benchmark, window, k, broadcast_bytes).where("contaminated").select("doc_id").distinct()
-        return docs.join(found, "doc_id", "left_anti").select(docs.columns)
+        rows = numbered(docs, "rows")
+        found = decontaminate(rows.select(F.col(ROW).alias("doc_id"), "text"), benchmark, window, k, broadcast_bytes).where("contaminated").select(F.col("doc_id").alias(ROW)).distinct()
+        return rows.join(found, ROW, "left_anti").select(docs.columns)
     index = Index([(r.item_id, r.text) for r in bench.collect()], window, k)
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -25,3 +25,18 @@ def test_stages_keep_the_columns(spark, sf):
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, documents.where("false"), sf).count() == 0
     assert simhash.THRESHOLD == 2 and decontaminate.WINDOW == 10
+
+
+def test_rows_are_dropped_one_by_one(spark):
+    """Rows that share a doc_id, or have none, stay or go by their own text."""
+    one, two, leak = (" ".join(f"{x}{k}" for k in range(60)) for x in ("a", "b", "leak"))
+    rows = [(1, one, "first"), (2, two, "kept"), (3, two, "copy"), (3, "quite another text", "kept too"), (1, one, "repeated"), (None, one, "copy without id"), (None, "nothing else like this", "kept three")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, note string").repartition(3)
+    got = [r.note for r in corpus_pipeline.near_dedup(spark, docs, "").collect()]
+    assert len(got) == 4 and set(got) - {"first", "repeated"} == {"kept", "kept too", "kept three"}
+    bench = spark.createDataFrame([("i", leak)], "item_id string, text string")
+    rows = [(1, one, "kept"), (1, f"x {leak} y", "leak"), (None, leak, "leak without id"), (None, two, "kept without id"), (2, leak, "leak again"), (2, None, "null")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, note string").repartition(3)
+    for bound in (10**9, 0):
+        got = decontaminate.clean(docs, bench, broadcast_bytes=bound).collect()
+        assert sorted(r.note for r in got) == ["kept", "kept without id", "null"]
