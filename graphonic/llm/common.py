@@ -23,11 +23,13 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; a temporary one where that is unset (tests)."""
+    """The folder of ``spark.checkpoint.dir``; in local mode (tests) a temporary one where that is unset."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         found = spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="graphonic-")
         spark.sparkContext.setCheckpointDir(found)
         drop_at_exit(spark, found)
