@@ -1,22 +1,26 @@
 """Exact top-k inner products by Fagin's threshold algorithm.
 
 Vectors are turned into integers, floor(scale * x), and packed into blocks.
-Within a block every dimension has a list of the vectors sorted by that
-component.  A query reads all lists in step from the end that its own
-component favours; whatever a list shows for the first time is scored in full.
-After each round the components at the lists' heads bound the score of every
-vector not yet seen; a query stops when that bound is below its k-th best.
-(An equal bound does not stop it: ties go to the smaller vec_id.)
-
-A block's answer is exact, and the best of the blocks' answers are merged by
-rank, so the whole is exact.  Queries meet candidates block by block: query
-blocks are replicated to numbered buckets of candidate blocks and joined by
-that number, and what travels after is k rows a query and block.
+Within a bucket of blocks every dimension has a list of the vectors sorted by
+that component.  Queries read all lists in step from both ends, together;
+whatever a list shows for the first time is scored for every query that is
+still open.  After each round the components at the lists' heads (the high end
+where a query's own component is positive, else the low end) bound the score
+of every vector not yet shown; a query is closed when that bound is below its
+k-th best.  (An equal bound does not close it: ties go to the smaller vec_id.)
+Nothing else stops a query: where the bound never falls, the lists are read to
+their end.
+
+A bucket's answer is exact, and the best of the buckets' answers are merged by
+rank, so the whole is exact.  Query blocks are sent to every bucket; a bucket
+is streamed, its candidates first, and what travels after is k rows a query
+and bucket.
 
 Defined results: vectors that are null, empty, or hold null or non-finite
 components take no part; only vectors of equal length are compared; rows that
 repeat a vec_id are not candidates of a query of that id; fewer candidates
-than k: all; an empty table gives no rows; other columns are unread.
+than k: all; an empty table gives no rows; other columns are unread.  Scores
+are exact below 2**53 in size.
 """
 
 from __future__ import annotations
@@ -30,10 +34,13 @@ from pyspark.sql import functions as F
 
 from .common import table, written
 
-K, SCALE, BLOCK, QUERY_BLOCK, FIRST_DEPTH = 20, 64, 8192, 512, 8
-BUCKETS = 4096
+K, SCALE, FIRST_DEPTH = 20, 64, 8
+#: Most vectors of a packed block of candidates and of queries, and vectors of a bucket.
+BLOCK, QUERY_BLOCK, BUCKET = 8192, 512, 16_384
+#: Queries that are scored together.
+TOGETHER = 64
 
-PACKED = "dim int, n int, ids binary, parts binary"
+PACKED = "dim int, n int, width int, ids binary, parts binary"
 
 
 def integers(column: pa.Array, scale: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -62,7 +69,7 @@ def blocks(vectors: DataFrame, rows: int, scale: float) -> DataFrame:
             at = 0
             while len(ids) - at >= rows or last and at < len(ids):
                 to = min(at + rows, len(ids))
-                yield pa.RecordBatch.from_pydict({"dim": pa.array([dim], pa.int32()), "n": pa.array([to - at], pa.int32()), "ids": [ids[at:to].tobytes()], "parts": [parts[at:to].tobytes()]})
+                yield _packed(ids[at:to], parts[at:to])
                 at = to
             held[dim] = [(ids[at:], parts[at:])]
 
@@ -80,89 +87,109 @@ def blocks(vectors: DataFrame, rows: int, scale: float) -> DataFrame:
     return vectors.mapInArrow(kernel, PACKED)
 
 
+def _packed(ids: np.ndarray, parts: np.ndarray) -> pa.RecordBatch:
+    """One block, its components in as few bytes as hold them."""
+    most = max(int(parts.max()), -int(parts.min()))
+    width = next(w for w in (1, 2, 4, 8) if most < 1 << 8 * w - 1 or w == 8)
+    return pa.RecordBatch.from_pydict({"dim": pa.array([parts.shape[1]], pa.int32()), "n": pa.array([len(ids)], pa.int32()), "width": pa.array([width], pa.int32()), "ids": [ids.tobytes()], "parts": [parts.astype(f"<i{width}").tobytes()]})
+
+
 class Lists:
-    """The sorted lists of one block."""
+    """The sorted lists of one bucket."""
 
     def __init__(self, ids: np.ndarray, parts: np.ndarray):
-        order = np.argsort(ids, kind="stable")
-        self.ids, self.whole = ids[order], parts[order]
-        self.values = self.whole.astype(np.float64)  # exact: the scores are far below 2**53
-        self.order = np.argsort(self.whole, axis=0, kind="stable")
+        by_id = np.argsort(ids, kind="stable")
+        self.ids, self.values = ids[by_id], parts[by_id].astype(np.float64)
+        self.order = np.argsort(self.values, axis=0, kind="stable").astype(np.int32)
         self.sorted = np.take_along_axis(self.values, self.order, axis=0)
-
-    def head(self, q: np.ndarray, depth: int, before: int) -> tuple[np.ndarray, float]:
-        """The vectors that the lists show from one depth to another, and the bound on what they don't show."""
-        n = len(self.ids)
-        up, down = np.flatnonzero(q > 0), np.flatnonzero(q < 0)
-        seen = np.concatenate([self.order[n - depth : n - before, up].ravel(), self.order[before:depth, down].ravel()])
-        return seen, float(q[up] @ self.sorted[n - depth, up] + q[down] @ self.sorted[depth - 1, down])
+        #: Scores computed and vectors there, summed over queries.
+        self.scored = self.offered = 0
 
     def search(self, query_ids: np.ndarray, queries: np.ndarray, k: int = K, first: int = FIRST_DEPTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(query, vec_id, score) of the k best of the block for each query."""
-        n = len(self.ids)
-        out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        open_: list[int] = []
-        q = queries.astype(np.float64)
-        for i in range(len(q)):
-            scores = np.full(n, -np.inf)
-            depth, before, left = min(first, n), 0, n
-            own = self.ids == query_ids[i]
-            while True:
-                seen, bound = self.head(q[i], depth, before)
-                new = np.unique(seen)
-                new = new[np.isneginf(scores[new])]
-                scores[new] = self.values[new] @ q[i]
-                scores[own] = -np.inf
-                left -= len(new)
-                if n > k and np.partition(scores, n - k)[n - k] > bound:
-                    out.append(self.best(query_ids[i], scores, k))
-                    break
-                # Past half of the block the lists have little left to hide: what is unseen is scored together below.
-                if depth * 2 >= n or left * 2 <= n or not (q[i] != 0).any():
-                    open_.append(i)
-                    break
-                before, depth = depth, min(depth * 4, n)
-        for at in range(0, len(open_), 64):
-            part = open_[at : at + 64]
-            for i, scores in zip(part, (self.values @ q[part].T).T):
-                scores = scores.copy()
-                scores[self.ids == query_ids[i]] = -np.inf
-                out.append(self.best(query_ids[i], scores, k))
-        return tuple(np.concatenate(x) for x in zip(*out)) if out else (np.zeros(0, np.int64),) * 3
-
-    def best(self, query: int, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        cut = np.partition(scores, len(scores) - k)[len(scores) - k] if len(scores) > k else -np.inf
-        rows = np.flatnonzero((scores >= cut) & ~np.isneginf(scores))
-        rows = rows[np.lexsort((self.ids[rows], -scores[rows]))][:k]
-        return np.full(len(rows), query, np.int64), self.ids[rows], scores[rows].astype(np.int64)
+        """(query, vec_id, score) of the k best of the bucket for each query."""
+        parts = [self._search(query_ids[at : at + TOGETHER], queries[at : at + TOGETHER].astype(np.float64), k, first) for at in range(0, len(query_ids), TOGETHER)]
+        return tuple(np.concatenate(x) for x in zip(*parts)) if parts else (np.zeros(0, np.int64),) * 3
+
+    def _search(self, query_ids: np.ndarray, q: np.ndarray, k: int, first: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        n, none = len(self.ids), np.iinfo(np.int64).min
+        # score * n + (n - 1 - place): the greater of two is the better score, or the smaller vec_id.
+        best = np.full((len(q), k), none)
+        open_, shown = np.arange(len(q)), np.zeros(n, bool)
+        before, depth = 0, min(first, n)
+        self.offered += len(q) * n
+        while len(open_):
+            new = np.zeros(n, bool)
+            new[self.order[before:depth]] = True
+            new[self.order[n - depth : n - before]] = True
+            new &= ~shown
+            shown |= new
+            rows = np.flatnonzero(new)
+            self.scored += len(open_) * len(rows)
+            score = np.rint(q[open_] @ self.values[rows].T).astype(np.int64) * n + (n - 1 - rows)
+            score[self.ids[rows] == query_ids[open_][:, None]] = none
+            both = np.concatenate([best[open_], score], axis=1)
+            best[open_] = np.partition(both, both.shape[1] - k, axis=1)[:, both.shape[1] - k :]
+            if depth == n or shown.all():
+                break
+            bound = np.maximum(q[open_], 0) @ self.sorted[n - depth] + np.minimum(q[open_], 0) @ self.sorted[depth - 1]
+            least = best[open_].min(axis=1)
+            open_ = open_[(least == none) | (least // n <= bound)]
+            before, depth = depth, min(depth * 4, n)
+        at, place = np.nonzero(best != none)
+        found = best[at, place]
+        return query_ids[at], self.ids[n - 1 - found % n], found // n
 
 
 def _search(k: int):
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last: tuple[bytes, Lists] | None = None
+        now, held, lists = None, [], None
         for batch in batches:
-            for r in batch.to_pylist():
-                shape = (-1, r["dim"])
-                if last is None or last[0] != r["ids"]:
-                    last = r["ids"], Lists(np.frombuffer(r["ids"], np.int64), np.frombuffer(r["parts"], np.int64).reshape(shape))
-                found = last[1].search(np.frombuffer(r["query_ids"], np.int64), np.frombuffer(r["query_parts"], np.int64).reshape(shape), k)
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in found], names=["query_id", "vec_id", "score"])
+            for i in range(batch.num_rows):
+                bucket, dim, asks, width, ids, parts = (column[i].as_py() for column in batch.columns)
+                if (bucket, dim) != now:
+                    now, held, lists = (bucket, dim), [], None
+                block = np.frombuffer(ids, np.int64), np.frombuffer(parts, f"<i{width}").reshape(-1, dim)
+                if not asks:
+                    held.append(block)
+                elif held:
+                    if lists is None:
+                        lists = Lists(np.concatenate([x for x, _ in held]), np.concatenate([x for _, x in held]))
+                    found = lists.search(*block, k)
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in found], names=["query_id", "vec_id", "score"])
 
     return kernel
 
 
+def _numbered(packed: DataFrame) -> tuple[DataFrame, int, int]:
+    """Blocks with their number among all, how many there are, and how many vectors.
+
+    A task's own numbers follow those of the tasks before it, whose counts (a
+    row a task) are summed on the driver.
+    """
+    spark = packed.sparkSession
+    place = F.monotonically_increasing_id()
+    kept = written(packed.withColumn("place", place), "blocks")
+    part = F.shiftrightunsigned("place", 33)
+    counts = sorted(kept.groupBy(part.alias("part")).agg(F.count("*").alias("blocks"), F.sum("n").alias("n")).collect(), key=lambda r: r.part)
+    bases = np.cumsum([0, *(r.blocks for r in counts)]).tolist()
+    base = spark.createDataFrame([(r.part, b) for r, b in zip(counts, bases)], "part bigint, base bigint")
+    dense = kept.withColumn("part", part).join(base, "part").withColumn("number", F.col("base") + F.col("place").bitwiseAND(F.lit((1 << 33) - 1)))
+    return dense.drop("part", "base", "place"), bases[-1], sum(r.n for r in counts)
+
+
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = K, scale: float = SCALE) -> DataFrame:
     """query_id, rank, vec_id, score: each query's k highest inner products.
 
     Both tables have vec_id and embedding.
     """
-    candidates = written(blocks(vectors.select("vec_id", "embedding"), BLOCK, scale), "blocks")
-    buckets = min(max(candidates.count(), 1), BUCKETS)
-    # A block's place among all of them, by its task and its place in the task's output.
-    place = F.monotonically_increasing_id()
-    candidates = candidates.withColumn("bucket", F.pmod(F.shiftright(place, 33) + place.bitwiseAND(F.lit((1 << 33) - 1)), F.lit(buckets)))
-    asked = blocks(queries.select("vec_id", "embedding"), QUERY_BLOCK, scale).select("dim", F.col("ids").alias("query_ids"), F.col("parts").alias("query_parts"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(buckets - 1).cast("long"))).alias("bucket"))
-    found = candidates.join(asked, ["dim", "bucket"]).select("dim", "ids", "parts", "query_ids", "query_parts").mapInArrow(_search(k), "query_id bigint, vec_id bigint, score bigint")
+    candidates, n_blocks, n_vectors = _numbered(blocks(vectors.select("vec_id", "embedding"), BLOCK, scale))
+    # At least a bucket a core, so that all cores work; beyond that as few as the bound on a bucket allows.
+    buckets = max(1, min(n_blocks, max(-(-n_vectors // BUCKET), vectors.sparkSession.sparkContext.defaultParallelism)))
+    candidates = candidates.select((F.col("number") % buckets).alias("bucket"), "dim", F.lit(False).alias("asks"), "width", "ids", "parts")
+    asked = written(blocks(queries.select("vec_id", "embedding"), QUERY_BLOCK, scale), "queries")
+    asked = asked.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(buckets - 1).cast("long"))).alias("bucket"), "dim", F.lit(True).alias("asks"), "width", "ids", "parts")
+    rows = candidates.unionByName(asked).repartition("bucket", "dim").sortWithinPartitions("bucket", "dim", "asks")
+    found = rows.mapInArrow(_search(k), "query_id bigint, vec_id bigint, score bigint")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

@@ -29,6 +29,8 @@ def vectors(seed=1, n=300, dim=6):
 
 def test_top_k_equals_brute_force(spark, monkeypatch):
     monkeypatch.setattr(topk, "BLOCK", 64)
+    monkeypatch.setattr(topk, "QUERY_BLOCK", 7)
+    monkeypatch.setattr(topk, "BUCKET", 100)
     rows = vectors()
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("score", __import__("pyspark.sql.functions", fromlist=["lit"]).lit(1)).repartition(3)
     got = sorted(tuple(r) for r in topk.top_k(df, df.where("vec_id % 20 = 0").dropDuplicates(["vec_id"])).collect())
@@ -40,16 +42,30 @@ def test_top_k_equals_brute_force(spark, monkeypatch):
     assert got == sorted(want)
 
 
-def test_top_k_stops_early_and_is_exact():
+def best_of(ids, parts, queries, k=20):
+    return [sorted((-int(x @ q), i) for i, x in zip(ids.tolist(), parts))[:k] for q in queries]
+
+
+@pytest.mark.parametrize("kind", ["clusters", "one large component", "no structure"])
+def test_top_k_stops_by_its_bound_and_is_exact(kind):
     rng = np.random.default_rng(0)
-    parts = rng.integers(-5, 6, (2000, 3))
-    parts[:30, 0] = 400
-    lists = topk.Lists(np.arange(2000), parts)
-    q = np.array([[9, 1, 0], [0, 0, 0], [-4, 2, 1]])
-    query, ids, scores = lists.search(np.array([5000, 5001, 5002]), q, 20)
-    for k in range(3):
-        want = sorted((-int(parts[i] @ q[k]), i) for i in range(2000))[:20]
-        assert [(-s, i) for i, s in zip(ids[query == 5000 + k].tolist(), scores[query == 5000 + k].tolist())] == want
+    parts = rng.integers(-5, 6, (4000, 3 if kind == "one large component" else 16))
+    if kind == "clusters":  # a few groups far out in one direction each
+        for k in range(8):
+            parts[500 * k : 500 * k + 25, 2 * k] += 300
+    if kind == "one large component":
+        parts[:30, 0] = 400
+    ids = rng.permutation(4000) * 3
+    lists = topk.Lists(ids, parts)
+    q = parts[[500 * k for k in range(8)]] if kind == "clusters" else np.concatenate([rng.integers(-9, 9, (8, parts.shape[1])), np.zeros((1, parts.shape[1]), int)])
+    if kind == "one large component":
+        q[:-1, 0] = 9
+    query, found, scores = lists.search(np.arange(len(q)) - 100, q, 20)
+    for k, want in enumerate(best_of(ids, parts, q)):
+        mine = query == k - 100
+        assert sorted((-s, i) for i, s in zip(found[mine].tolist(), scores[mine].tolist())) == want
+    share = lists.scored / lists.offered
+    assert share < 0.5 if kind != "no structure" else share == 1
 
 
 def test_top_k_of_nothing(spark):
