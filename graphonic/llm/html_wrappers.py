@@ -2,28 +2,33 @@
 
 A page becomes a tree of elements with text slots.  The wrapper of a host is
 found by aligning its pages one after another: children that agree are
-aligned in order (longest common subsequence of their tags); what one side
-lacks becomes optional, what recurs becomes repeated (a run of one element, or
-a span of elements as a repeated group of optionals), and text slots whose
-text differs become variable.  So a wrapper is a regular expression without
-unions whose size is bounded by the number of different tags below each
-element, however many pages it has seen, and merging two wrappers is the same
-operation as merging a page into one.  Each task merges its own pages per host
-first, so a host with a third of all pages sends one small wrapper a task.
-
-The wrapper then says which slot holds the article: its article-like element,
-or else the element that holds most of the host's variable text.  Menus,
-headers, footers, sidebars, notices, adverts, forms and comments are known by
-their tags, roles and class words.  The wrapper overrules class words: an
-element that holds most of the host's variable text stays, unless an article
-stands beside it (see ``overruled``).  Text outside paragraphs-like slots that is
-the same on all of several pages is template text.
+aligned in order (longest common subsequence of their keys: tag, id and whole
+class names); what one side lacks becomes optional, what recurs becomes
+repeated (a run of one element, or a span of elements as a repeated group of
+optionals), and text slots whose text differs become variable.  Where names go
+on differing (numbered posts), the keys of a tag become one.  So a wrapper is a
+regular expression without unions whose size is bounded below each element,
+however many pages it has seen, and merging two wrappers is the same operation
+as merging a page into one.  Each task merges its own pages per host first, and
+the tasks' wrappers are merged in two rounds, so a host with a third of all
+pages is not gathered in one task.
+
+The wrapper then says where the article is.  Text that is the same on all of
+several pages is template.  An article-like element with a fair part of the
+host's variable text is the article; else the element that holds most of the
+variable text is, without the blocks in it that are template.  Menus, headers,
+adverts and comments differ from page to page too: these are known by their
+tags, roles and class words.  The wrapper overrules class words: an element
+that holds most of the host's variable text stays, unless an article stands
+beside it (see ``overruled``).
 
 Defined results: a null or empty page gives an empty text; pages without a
-host share one wrapper; unclosed tags close with their parents; a page in
-which the wrapper's article is missing is read without the parts that are
-boilerplate by name; repeated rows are pages of their own; extra columns are
-not read.
+host share one wrapper; unclosed tags close with their parents; elements
+nested more than DEEPEST deep are read but not aligned; very long pages are
+read whole; a page in which the wrapper's article is missing is read without
+the parts that are boilerplate by name; of several equally good elements the
+first in page order holds the article; repeated rows are pages of their own;
+extra columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -35,6 +40,7 @@ from collections.abc import Iterator
 from difflib import SequenceMatcher
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -59,7 +65,14 @@ DROPPED_ROLES = frozenset("navigation banner contentinfo complementary search fo
 DROPPED_WORDS = frozenset("ad ads adbox adslot adsense advert adverts advertisement advertising advertorial banner billboard breadcrumb breadcrumbs byline-share comment comments commentlist consent cookie cookies copyright discussion disqus dialog footer footnav gdpr header masthead login menu menus modal nav navbar navigation newsletter notice notices notification outbrain overlay paginate pagination pager paywall popup promo promos promoted promotion recommended related replies reply respond rail share sharing sidebar sidebars sidenav signup skip skiplink social sponsor sponsored sponsors subscribe subscription taboola toast toolbar topbar widget widgets".split())
 ARTICLE_WORDS = frozenset("article articlebody post postbody entry story content maincontent bodytext main".split())
 _WORDS = re.compile(r"[A-Za-z][a-z]*|[A-Z]+")
+#: Pages from which on a text that never differs is template.
 LEAST_PAGES = 3
+#: Share of the host's variable text from which on an article-like element is the article.
+FAIR = 0.2
+#: Keys below one element that differ in digits only, and of one tag, from which on they become one.
+MANY, MANY_OF_TAG = 16, 64
+#: Groups in which a host's wrappers are merged first.
+SALTS = 64
 #: How an element is boilerplate: by a part of a class name, by a whole class name, by tag, role or attribute.
 PART, NAME, FIRM = 1, 2, 3
 #: Share of an element's variable text from which article-like text beside it lets its name stand.
@@ -67,12 +80,28 @@ BESIDE = 0.1
 
 
 class Node:
-    """An element of a page: its key (tag and the words of its class), its children, or a text."""
+    """An element of a page: its key (tag and names), its children, or a text."""
 
-    __slots__ = ("key", "kids", "tag", "dropped", "article")
+    __slots__ = ("key", "kids", "tag", "dropped", "article", "own", "whole")
 
     def __init__(self, tag: str, key: str, dropped: int, article: bool):
         self.tag, self.key, self.dropped, self.article, self.kids = tag, key, dropped, article, []
+        self.own = self.whole = ""
+
+
+def digested(node: Node) -> Node:
+    """Fill in own and whole: digests of an element's own text and of all text in it."""
+    mine, all_ = [], []
+    for kid in node.kids:
+        if isinstance(kid, str):
+            if text := kid.strip():
+                mine.append(text)
+                all_.append(text)
+        elif kid.tag not in RAW:
+            all_.append(f"<{kid.key}{digested(kid).whole}")
+    node.own = xxhash.xxh64_hexdigest("\n".join(mine)) if mine else ""
+    node.whole = xxhash.xxh64_hexdigest("\n".join(all_)) if any(all_) else ""
+    return node
 
 
 _SEEN: dict[tuple[str, str], tuple[str, int, bool]] = {}
@@ -82,11 +111,13 @@ def described(tag: str, attributes: str) -> tuple[str, int, bool]:
     """The key of an element, how it is boilerplate (0: not), and whether it is article-like but for that."""
     found = _SEEN.get((tag, attributes))
     if found is None:
-        words, other, named, role, hidden, prop = set(), set(), 0, "", False, ""
+        words, other, names, named, role, hidden, prop = set(), set(), set(), 0, "", False, ""
         for name, a, b, c in ATTRIBUTE.findall(attributes):
             value, name = html.unescape(a or b or c), name.lower()
             if name in ("class", "id"):
+                mark = "#" if name == "id" else "."
                 for name in value.split():
+                    names.add(mark + name.lower().replace("~", "-"))
                     parts = {w.lower() for w in (*_WORDS.findall(name), *re.split(r"[^A-Za-z-]+", name)) if w}
                     words |= parts
                     if parts & DROPPED_WORDS:
@@ -102,7 +133,7 @@ def described(tag: str, attributes: str) -> tuple[str, int, bool]:
         firm = tag in DROPPED_TAGS or role in DROPPED_ROLES or hidden
         dropped = FIRM if firm else 0 if tag in ("html", "body", "article", "main") else named
         article = not firm and (tag in ("article", "main") or role in ("article", "main") or prop == "articlebody" or bool((other if dropped else words) & ARTICLE_WORDS and tag in ("div", "section", "td")))
-        key = f"{tag}.{'.'.join(sorted(words)[:8])}" if words and tag not in INLINE else tag
+        key = tag + "".join(sorted(names)) if tag not in INLINE else tag
         found = key, dropped, article
         if len(_SEEN) > 50_000:
             _SEEN.clear()
@@ -110,6 +141,16 @@ def described(tag: str, attributes: str) -> tuple[str, int, bool]:
     return found
 
 
+def forms(key: str, dropped: int, article: bool) -> tuple[str, str]:
+    """What an element's key becomes where names differ: without digits, and the tag alone."""
+    kind = f"~{dropped}{int(article)}"
+    return re.sub(r"\d+", "0", key) + kind, re.split("[.#~]", key, maxsplit=1)[0] + "~" + kind
+
+
+def tag_of(key: str) -> str:
+    return re.split("[.#~]", key, maxsplit=1)[0]
+
+
 def parse(source: str) -> Node:
     """The tree of a page."""
     root = Node("", "", 0, False)
@@ -163,29 +204,54 @@ def parse(source: str) -> Node:
             stack.append(node)
 
 
-# A wrapper is [key, kids, chars, pages, article, dropped, text]: kids is a list of
+# A wrapper is [key, kids, chars, pages, article, dropped, own, whole]: kids is a list of
 # [wrapper, optional, repeated, group]; elements of one repeated group share its number (0: none).
-# text is the constant text of the element's own slots, or None where it differs.
+# own is the digest of the element's own text, whole that of all text in it, or None where it differs.
 
 
 def of_page(node: Node) -> list:
-    """The wrapper of a single page's element."""
+    """The wrapper of a single page's element, whose digests are known."""
     kids: list[list] = []
-    own, chars = [], 0
+    chars = 0
     for kid in node.kids:
         if isinstance(kid, str):
-            if text := kid.strip():
-                own.append(text)
-                chars += len(text)
+            chars += len(kid.strip())
         else:
             kids.append([of_page(kid), False, False, 0])
             chars += 0 if kid.dropped else kids[-1][0][2]
-    return [node.key, folded(kids), chars, 1, node.article, node.dropped, " ".join(own)]
+    return [node.key, folded(generalised(kids)), chars, 1, node.article, node.dropped, node.own, node.whole]
 
 
 def merged(a: list, b: list) -> list:
     """The wrapper of what either of two wrappers of one key stands for."""
-    return [a[0], folded(aligned(a[1], b[1])), a[2] + b[2], a[3] + b[3], a[4], a[5], a[6] if a[6] == b[6] else None]
+    return [a[0], folded(aligned(*alike(a[1], b[1]))), a[2] + b[2], a[3] + b[3], a[4], a[5], a[6] if a[6] == b[6] else None, a[7] if a[7] == b[7] else None]
+
+
+def general_keys(keys: dict[str, tuple[str, str]]) -> dict[str, str]:
+    """The general key of those keys, given with their forms, of which there are too many, or that became general before."""
+    if len(keys) <= MANY and not any("~" in k for k in keys):
+        return {}
+    out: dict[str, str] = {}
+    for form, most in ((0, MANY), (1, MANY_OF_TAG)):
+        by: dict[str, set[str]] = {}
+        for key, both in keys.items():
+            by.setdefault(both[form], set()).add(key)
+        for general, found in by.items():
+            if len(found) > most or general in keys:
+                out |= dict.fromkeys(found, general)
+    return out
+
+
+def alike(*sides: list[list]) -> tuple[list[list], ...]:
+    """The sides' children with general keys where they are needed."""
+    keys = {key: (key, key) if "~~" in key else forms(key.split("~")[0], dropped, article) for side in sides for (key, _, _, _, article, dropped, _, _), *_ in side}
+    if general := general_keys(keys):
+        return tuple([[[general.get(kid[0][0], kid[0][0]), *kid[0][1:]], *kid[1:]] for kid in side] for side in sides)
+    return sides
+
+
+def generalised(kids: list[list]) -> list[list]:
+    return alike(kids)[0]
 
 
 def aligned(a: list[list], b: list[list]) -> list[list]:
@@ -242,8 +308,7 @@ def overruled(wrapper: list) -> set[str]:
     def variable(w: list) -> int:
         if id(w) not in known:
             own = w[2] - sum(k[2] for k, _, _, _ in w[1] if not k[5])
-            constant = w[6] is not None and w[3] >= LEAST_PAGES
-            known[id(w)] = (0 if constant else own) + sum(variable(k) for k, _, _, _ in w[1] if k[5] < FIRM)
+            known[id(w)] = 0 if constant(w, 7) else (0 if constant(w, 6) else own) + sum(variable(k) for k, _, _, _ in w[1] if k[5] < FIRM)
         return known[id(w)]
 
     def articles(w: list, without: list | None = None) -> int:
@@ -272,9 +337,40 @@ def overruled(wrapper: list) -> set[str]:
         now = most
 
 
-def article_path(wrapper: list) -> list[str]:
-    """Keys from the root's child to the element that holds the article."""
-    best: tuple[int, list[str]] = (0, [])
+def constant(w: list, slot: int) -> bool:
+    """Whether a text (6: the element's own, 7: all in it) is known to be the same on all of several pages."""
+    return w[slot] is not None and w[3] >= LEAST_PAGES
+
+
+def variable_text(wrapper: list) -> dict[int, int]:
+    """Characters that differ from page to page, without dropped elements, by id of wrapper element."""
+    known: dict[int, int] = {}
+
+    def walk(w: list) -> int:
+        below = [(kid[2], walk(kid)) for kid, _, _, _ in w[1] if not kid[5]]
+        own = w[2] - sum(all_ for all_, _ in below)
+        known[id(w)] = 0 if constant(w, 7) else (0 if constant(w, 6) else own) + sum(x for _, x in below)
+        return known[id(w)]
+
+    if not walk(wrapper):  # all pages are the same: nothing can be told apart
+
+        def all_text(w: list) -> None:
+            known[id(w)] = w[2]
+            for kid, _, _, _ in w[1]:
+                all_text(kid)
+
+        all_text(wrapper)
+    return known
+
+
+def article_path(wrapper: list) -> tuple[list[str], set[tuple[tuple[str, ...], str]]]:
+    """Keys from the root's child to the element that holds the article, and the template blocks in it.
+
+    These are given as (keys from the article on, digest); an article-like
+    element has none.
+    """
+    variable = variable_text(wrapper)
+    best: tuple[int, int, list[str]] = (0, 0, [])
 
     def named(w: list, path: list[str]) -> None:
         nonlocal best
@@ -282,67 +378,74 @@ def article_path(wrapper: list) -> list[str]:
             if kid[5]:
                 continue
             here = [*path, kid[0]]
-            tag = kid[0].split(".")[0]
             # An article element counts before an element that only has an article's name; more text wins.
             if kid[4] and kid[2]:
-                rank = kid[2] * (3 if tag == "article" else 1)
+                rank = kid[2] * (3 if tag_of(kid[0]) == "article" else 1)
                 if rank > best[0]:
-                    best = rank, here
+                    best = rank, variable.get(id(kid), 0), here
             named(kid, here)
 
     named(wrapper, [])
-    if best[1]:
-        return best[1]
+    if best[2] and best[1] >= FAIR * variable[id(wrapper)]:
+        return best[2], set()
     path, now = [], wrapper
     while True:
-        blocks = [k for k, _, _, _ in now[1] if not k[5] and k[0].split(".")[0] not in INLINE]
-        top = max(blocks, key=lambda k: k[2], default=None)
-        if top is None or top[2] < 0.6 * max(now[2], 1) or top[0].split(".")[0] in ("p", "ul", "ol", "table", "pre", "blockquote", "h1", "h2"):
-            return path
+        blocks = [k for k, _, _, _ in now[1] if not k[5] and tag_of(k[0]) not in INLINE]
+        top = max(blocks, key=lambda k: variable[id(k)], default=None)
+        headed = any(k is not top and variable[id(k)] and tag_of(k[0]) in ("h1", "h2", "h3") for k in blocks)  # a title beside its text
+        if top is None or headed or variable[id(top)] < 0.6 * max(variable[id(now)], 1) or tag_of(top[0]) in ("p", "ul", "ol", "table", "pre", "blockquote", "h1", "h2"):
+            break
         path, now = [*path, top[0]], top
+    found: set[tuple[tuple[str, ...], str]] = set()
 
+    def template(w: list, at: tuple[str, ...]) -> None:
+        for kid, _, repeated, _ in w[1]:
+            if not repeated and tag_of(kid[0]) not in INLINE:
+                if constant(kid, 7) and kid[7]:
+                    found.add(((*at, kid[0]), kid[7]))
+                else:
+                    template(kid, (*at, kid[0]))
 
-def template_texts(wrapper: list, path: list[str]) -> set[tuple[str, str]]:
-    """(key, text) of block elements beside article paragraphs whose text is the same on several pages."""
-    found: set[tuple[str, str]] = set()
+    if variable[id(wrapper)] < wrapper[2]:
+        template(now, ())
+    return path, found
 
-    def walk(w: list, inside: bool) -> None:
-        for kid, optional, repeated, _ in w[1]:
-            if kid[6] and kid[3] >= LEAST_PAGES and not repeated and kid[0].split(".")[0] not in INLINE and not inside:
-                found.add((kid[0], kid[6]))
-            walk(kid, inside or bool(path and kid[0] == path[-1]))
 
-    walk(wrapper, False)
-    return found
+def is_at(node: Node, key: str) -> bool:
+    """Whether a wrapper's key stands for an element."""
+    return node.key == key or "~" in key and key in forms(node.key, node.dropped, node.article)
 
 
-def text_of(root: Node, path: list[str], template: set[tuple[str, str]], stays: set[str] = frozenset()) -> str:
+def text_of(root: Node, path: list[str], template: set[tuple[tuple[str, ...], str]], stays: set[str] = frozenset()) -> str:
     """The article's text: blocks in page order, joined by one space; ``stays`` are the keys that the wrapper overrules."""
     tops = [root]
-    dropped = lambda kid: kid.dropped == FIRM or kid.dropped and kid.key not in stays
-    for k, key in enumerate(path):
-        below = [kid for node in tops for kid in node.kids if not isinstance(kid, str) and kid.key == key and not dropped(kid)]
+    dropped = lambda kid: kid.dropped == FIRM or kid.dropped and not any(is_at(kid, key) for key in stays)
+    for key in path:
+        below = [kid for node in tops for kid in node.kids if not isinstance(kid, str) and is_at(kid, key) and not dropped(kid)]
         if not below:
-            tops, path = [root], []
+            tops, template = [root], set()
             break
         tops = below
     out: list[str] = []
 
-    def walk(node: Node) -> None:
+    def walk(node: Node, at: tuple[str, ...]) -> None:
         for kid in node.kids:
             if isinstance(kid, str):
                 out.append(kid)
-            elif not dropped(kid) and not (template and (kid.key, " ".join(x.strip() for x in kid.kids if isinstance(x, str) and x.strip())) in template):
+            elif not dropped(kid):
+                here = (*at, kid.key) if template else at
+                if template and (here, kid.whole) in template:
+                    continue
                 inline = kid.tag in INLINE
                 if not inline:
                     out.append("\n")
-                walk(kid)
+                walk(kid, here)
                 if not inline:
                     out.append("\n")
 
     for top in tops:
         out.append("\n")
-        walk(top)
+        walk(top, ())
     return " ".join(html.unescape("".join(out)).split())
 
 
@@ -384,7 +487,7 @@ def tree(source: str) -> Node:
             node.kids = flat
         else:
             queue += [(kid, depth + 1) for kid in node.kids if not isinstance(kid, str)]
-    return root
+    return _deep(digested)(root)
 
 
 def _infer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -417,8 +520,9 @@ def wrappers(pages: DataFrame) -> DataFrame:
             now = w if now is None else _deep(merged)(now, w)
         return pd.DataFrame({"host": [frame["host"].iloc[0]], "wrapper": [_deep(json.dumps)(now)]})
 
-    partial = pages.select("url", "html").mapInArrow(_infer, "host string, wrapper string")
-    return partial.groupBy("host").applyInPandas(gathered, "host string, wrapper string")
+    partial = pages.select("url", F.col("html").cast("string").alias("html")).mapInArrow(_infer, "host string, wrapper string")
+    salted = partial.groupBy("host", F.pmod(F.spark_partition_id(), F.lit(SALTS)).alias("salt")).applyInPandas(gathered, "host string, wrapper string")
+    return salted.groupBy("host").applyInPandas(gathered, "host string, wrapper string")
 
 
 def extract(pages: DataFrame, wrapper_bytes: int = WRAPPER_BYTES) -> DataFrame:
@@ -436,7 +540,7 @@ def extract(pages: DataFrame, wrapper_bytes: int = WRAPPER_BYTES) -> DataFrame:
     with_wrapper = "wrapper" in pages.columns
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        plans: dict[str, tuple[list[str], set, set]] = {}
+        plans: dict[str, tuple[list[str], set, set[str]]] = {}
         for whole in batches:
             for batch in slices(whole, "html"):
                 texts = []
@@ -448,8 +552,7 @@ def extract(pages: DataFrame, wrapper_bytes: int = WRAPPER_BYTES) -> DataFrame:
                             plans.clear()
                         w = _deep(json.loads)(lookup(host, own))
                         stays = _deep(overruled)(w) if w else set()
-                        path = _deep(article_path)(w) if w else []
-                        plans[host] = path, _deep(template_texts)(w, path) if w else set(), stays
+                        plans[host] = (*(_deep(article_path)(w) if w else ([], set())), stays)
                     texts.append(_deep(text_of)(tree(source or ""), *plans[host]))
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(x) for x in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 

@@ -1,3 +1,4 @@
+import json
 import random
 import zlib
 from collections import defaultdict
@@ -167,12 +168,103 @@ def test_wrapper_overrules_names_of_containers(spark):
     assert got == {100 * h + i: f"First words of page {i} and {i} more of them" for h in range(len(around)) for i in range(5)}
 
 
+def texts_of(spark, rows):
+    df = spark.createDataFrame([(*r, "x", 7) for r in rows], "page_id long, url string, html string, text string, wrapper int")
+    return {r.page_id: r.text for r in html_wrappers.extract(df).collect()}
+
+
+def test_alignment_finds_the_article_without_names(spark):
+    """Of sibling blocks whose names say nothing, those that are the same on all pages go."""
+    rows = [(i, f"https://x.example/{i}", page(f"<div class=x1><ul><li>Home<li>About</ul></div><div class=x4><p>We use files on your disk</p></div><div class=x2><h2>Day {i}</h2><p>Story of day {i}</p><p>More of it: {i * 7}</p></div><div class=x3>All text is ours</div>")) for i in range(6)]
+    assert texts_of(spark, rows) == {i: f"Day {i} Story of day {i} More of it: {i * 7}" for i in range(6)}
+    # Without a block of its own, the article is what differs.
+    rows = [(i, f"https://y.example/{i}", page(f"<p class=a>Welcome to our pages</p><h1>Day {i}</h1><div>Story of day {i}</div><p class=b>See you</p>")) for i in range(6)]
+    assert texts_of(spark, rows) == {i: f"Day {i} Story of day {i}" for i in range(6)}
+
+
+def test_template_text_inside_an_article_stays(spark):
+    body = "<div class=top><p>Advertise here</p></div><article><p>Report {i}</p><p>by nobody {i}</p>{more}</article>"
+    rows = [(i, f"https://x.example/{i}", page(body.replace("{i}", str(i)).replace("{more}", "<p>Advertise here</p>" * (i == 5)))) for i in range(6)]
+    assert texts_of(spark, rows) == {i: f"Report {i} by nobody {i}" + " Advertise here" * (i == 5) for i in range(6)}
+
+
+def test_pages_of_awkward_rows(spark):
+    """Nulls, repeated rows, numbered names, a very long page, clashing columns."""
+    long = " ".join(f"word{i}" for i in range(60_000))
+    rows = [(1, None, "<p>a</p>"), (1, None, "<p>a</p>"), (None, "https://z.example", None), (2, "https://z.example/2", page(f"<article><p>{long}</p></article>"))]
+    rows += [(100 + i, "https://n.example", page(f"<div id=post-{i} class='post-{i} c{i % 40}x'><p>Entry {i}</p></div>")) for i in range(300)]
+    got = texts_of(spark, rows)
+    assert got[1] == "a" and got[None] == "" and got[2] == long and all(got[100 + i] == f"Entry {i}" for i in range(300))
+    known = None
+    for _, url, source in rows[4:]:
+        now = html_wrappers.of_page(html_wrappers.tree(source))
+        known = html_wrappers.merged(known, now) if known else now
+    assert len(json.dumps(known)) < 20_000
+
+
+def accepts(wrapper, node):
+    """Whether a wrapper, read as a regular expression, generates an element (by trying all ways)."""
+    kids = [k for k in node.kids if not isinstance(k, str)]
+    parts, at = [], 0
+    while at < len(wrapper[1]):
+        group = wrapper[1][at][3]
+        to = at + 1
+        while group and to < len(wrapper[1]) and wrapper[1][to][3] == group:
+            to += 1
+        parts.append([w for w in wrapper[1][at:to]])
+        at = to
+
+    def fits(w, kid):
+        return html_wrappers.is_at(kid, w[0]) and accepts(w, kid)
+
+    def match(p, k):
+        if p == len(parts):
+            return k == len(kids)
+        part = parts[p]
+        if len(part) > 1:  # any run of the group's elements
+            while True:
+                if match(p + 1, k):
+                    return True
+                if k == len(kids) or not any(fits(w[0], kids[k]) for w in part):
+                    return False
+                k += 1
+        w, optional, repeated, _ = part[0]
+        if optional and match(p + 1, k):
+            return True
+        while k < len(kids) and fits(w, kids[k]):
+            k += 1
+            if match(p + 1, k):
+                return True
+            if not repeated:
+                return False
+        return False
+
+    return match(0, 0)
+
+
+def test_wrappers_generate_every_page_they_have_seen():
+    rng = random.Random(5)
+
+    def block(depth):
+        tag = rng.choice(["div", "ul", "p", "section", "h2"])
+        inner = "".join(block(depth - 1) for _ in range(rng.randint(0, 3))) if depth and tag in ("div", "section") else f"t{rng.randint(0, 3)}"
+        return f"<{tag} class='{rng.choice('abc')}{rng.choice(['', '1', '2'])}'>{inner}</{tag}>"
+
+    for _ in range(60):
+        pages = [html_wrappers.tree(f"<body>{''.join(block(2) for _ in range(rng.randint(0, 5)))}</body>") for _ in range(rng.randint(1, 8))]
+        made = [html_wrappers.of_page(x) for x in pages]
+        while len(made) > 1:  # in any order, pages and wrappers alike
+            a, b = (made.pop(rng.randrange(len(made))) for _ in range(2))
+            made.append(html_wrappers.merged(a, b))
+        assert all(accepts(made[0], x) for x in pages)
+
+
 def test_wrappers_stay_small():
     known = None
     rng = random.Random(1)
     for _ in range(200):
         body = "".join(rng.choice(["<p>a</p>", "<h2>b</h2>", "<ul><li>c</li><li>d</li></ul>"]) for _ in range(rng.randint(1, 30)))
-        now = html_wrappers.of_page(html_wrappers.parse(f"<article>{body}</article>"))
+        now = html_wrappers.of_page(html_wrappers.tree(f"<article>{body}</article>"))
         known = html_wrappers.merged(known, now) if known else now
     article = known[1][0][0]
     assert sorted(k[0][0] for k in article[1]) == ["h2", "p", "ul"] and all(k[1] and k[2] for k in article[1])
