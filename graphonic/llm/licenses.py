@@ -1,25 +1,29 @@
 """License scans: sparse TF-IDF cosine to templates, then inheritance from the nearest directory.
 
-Every line of every text, and every run of up to ``RUN`` lines, is compared
-with license statements and opening paragraphs by the cosine of TF-IDF
-vectors.  Most are ruled out before any vector is built, and exactly: for each
-template the uncommon terms of greatest weight are its anchors, as many as
-needed for the rest of the template to have a norm below threshold, so a unit
-without an anchor cannot reach the threshold (Cauchy-Schwarz).  What is left is
-exploded into terms, joined with the templates' weights and summed.
-
-A file in which single lines that match, or one run that matches, hold at
-least half of the words is a licence file of its directory.  A file without a match of its own inherits from the
-nearest ancestor directory that has a licence file: its directory is exploded
-into its ancestors (as many rows as the path is deep) and joined by path.
-
-Everything is DataFrame expressions; what is broadcast is the template terms,
-whose number is fixed.
+Four kinds of units of every text are compared with license statements, whole
+short licenses and the titles of long ones: each line, each run of up to
+``RUN`` lines, each paragraph and the whole text.  The measure is the cosine of
+TF-IDF vectors; document frequencies are counted over all texts.  Most units
+are ruled out before any vector is built, and exactly: for each template the
+terms of greatest weight are its anchors, as many as needed for the rest of
+the template to have a norm below threshold, so a unit without an anchor
+cannot reach the threshold (Cauchy-Schwarz).  What is left is exploded into
+terms, joined with their weights and summed.
+
+A file is a licence file of its directory if lines, paragraphs or one unit
+that match hold at least half of its words, or if it begins with the title of
+a license.  A file without a match of its own inherits from the nearest
+ancestor directory that has a licence file: its directory is exploded into its
+ancestors (as many rows as the path is deep) and joined by path.
+
+Everything is DataFrame expressions; what comes to the driver and is broadcast
+are the template terms, whose number is fixed.
 
 Defined results: a null or empty text has no license of its own; a null path
-has no ancestors; several best templates: the smallest name; several licence
-files in a directory: the highest score, then the smallest path; repeated
-paths are files of their own; extra columns are not read.
+has no ancestors; very long texts are read whole; several best templates: the
+smallest name; several licence files in a directory: the highest score, then
+the smallest path; repeated paths are files of their own; an empty table gives
+no rows; extra columns are not read.
 """
 
 from __future__ import annotations
@@ -37,8 +41,8 @@ THRESHOLD = 0.7
 FILE_SHARE = 0.5
 RUN = 3
 
-#: License statements and opening paragraphs (fixed values, from the licenses' public texts).
-TEMPLATES: tuple[tuple[str, str], ...] = (
+#: License statements, whole short licenses and titles of long ones (fixed values, from the licenses' public texts).
+STATEMENTS: tuple[tuple[str, str], ...] = (
     ("AGPL-3.0", "This program is licensed under the GNU Affero General Public License, version 3."),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License."),
@@ -63,84 +67,128 @@ TEMPLATES: tuple[tuple[str, str], ...] = (
     ("Proprietary", "All rights reserved."),
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
 )
-
-
-#: Words that are common in any text; they are anchors only where a template has no other (fixed values).
-COMMON = frozenset("a all an and any are as at be by can for free from has have in into is it later not of on or that the this to under was with work you may".split())
-
-
-#: Names of several words that are one term: as written, and the term.
-NAMES = (("cc[ -]by", "ccby"), ("mit license", "mitlicense"))
+TEXTS: tuple[tuple[str, str], ...] = (
+    ("BSD-2-Clause", """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""),
+    ("BSD-3-Clause", """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.
+3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""),
+    ("ISC", """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.
+THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."""),
+    ("MIT", """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
+The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""),
+    ("Unlicense", """This is free and unencumbered software released into the public domain.
+Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."""),
+)
+TITLES: tuple[tuple[str, str], ...] = (
+    ("AGPL-3.0", "GNU Affero General Public License Version 3, 19 November 2007"),
+    ("Apache-2.0", "Apache License Version 2.0, January 2004"),
+    ("Apache-2.0", "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/"),
+    ("CC-BY-4.0", "Creative Commons Attribution 4.0 International Public License"),
+    ("CC-BY-NC-4.0", "Creative Commons Attribution-NonCommercial 4.0 International Public License"),
+    ("CC-BY-SA-4.0", "Creative Commons Attribution-ShareAlike 4.0 International Public License"),
+    ("CC0-1.0", "Creative Commons Legal Code CC0 1.0 Universal"),
+    ("GPL-2.0", "GNU General Public License Version 2, June 1991"),
+    ("GPL-3.0", "GNU General Public License Version 3, 29 June 2007"),
+    ("LGPL-3.0", "GNU Lesser General Public License Version 3, 29 June 2007"),
+    ("MPL-2.0", "Mozilla Public License Version 2.0"),
+)
+TEMPLATES = (*STATEMENTS, *TEXTS, *TITLES)
+#: Numbers of the templates that are titles.
+TITLED = range(len(TEMPLATES) - len(TITLES), len(TEMPLATES))
 
 
 def _terms(text: str) -> list[str]:
-    text = text.lower()
-    for written_as, term in NAMES:
-        text = re.sub(rf"\b{written_as}\b", term, text)
-    return [w for w in re.split(r"[^a-z0-9]+", text) if w]
+    return [w for w in re.split(r"[^a-z0-9]+", text.lower()) if w]
 
 
 class Templates:
-    """Weights of the template terms.  idf = ln(1 + n / df) over the templates; a term of none has df 1."""
+    """Weights of the template terms: count times ln(1 + texts / texts with the term), a term of no text counting as of one."""
 
-    def __init__(self, templates: tuple[tuple[str, str], ...] = TEMPLATES, threshold: float = THRESHOLD):
-        n = len(templates)
-        df = Counter(w for _, t in templates for w in set(_terms(t)))
-        self.idf = {w: math.log(1 + n / k) for w, k in sorted(df.items())}
-        self.unknown = math.log(1 + n)
+    def __init__(self, often: dict[str, int], texts: int, templates: tuple[tuple[str, str], ...] = TEMPLATES, threshold: float = THRESHOLD):
         self.names = [name for name, _ in templates]
         self.weights: list[dict[str, float]] = []
         anchors: set[str] = set()
         for _, t in templates:
-            raw = {w: k * self.idf[w] for w, k in Counter(_terms(t)).items()}
-            norm = math.sqrt(sum(x * x for x in raw.values()))
+            raw = {w: k * math.log(1 + texts / often.get(w, 1)) for w, k in sorted(Counter(_terms(t)).items())}
+            norm = math.sqrt(sum(x * x for x in raw.values())) or 1.0
             unit = {w: x / norm for w, x in raw.items()}
             self.weights.append(unit)
             rest = 1.0
-            for w, x in sorted(unit.items(), key=lambda p: (2 * (p[0] in COMMON) + (len(p[0]) < 2), -p[1], p[0])):
+            for w, x in sorted(unit.items(), key=lambda p: (-p[1], p[0])):
                 if rest < (threshold * 0.999) ** 2:
                     break
                 anchors.add(w)
                 rest -= x * x
         self.anchors = sorted(anchors)
 
+    @staticmethod
+    def terms(templates: tuple[tuple[str, str], ...] = TEMPLATES) -> list[str]:
+        return sorted({w for _, t in templates for w in _terms(t)})
+
 
 def _words(text: Column) -> Column:
-    text = F.lower(text)
-    for written_as, term in NAMES:
-        text = F.regexp_replace(text, rf"\b{written_as}\b", term)
-    return F.filter(F.split(text, "[^a-z0-9]+"), lambda w: w != "")
+    return F.filter(F.split(F.lower(text), "[^a-z0-9]+"), lambda w: w != "")
 
 
-def own_licenses(files: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES, threshold: float = THRESHOLD, share: float = FILE_SHARE) -> DataFrame:
-    """id, license, score, is_file of the files with a match; ``files`` has id and text.
+def frequencies(files: DataFrame) -> DataFrame:
+    """(term, texts): in how many texts each term occurs; counted before the shuffle."""
+    return files.select(F.explode(F.array_distinct(_words(F.coalesce("text", F.lit(""))))).alias("term")).groupBy("term").agg(F.count("*").alias("texts"))
 
-    The best unit (a line or a run of lines) gives the license.
+
+def units_of(files: DataFrame, anchors: list[str]) -> DataFrame:
+    """id, total (words of the file), unit, n (words of the unit), words of the units with an anchor.
+
+    unit is RUN * line + length - 1 of lines and runs, -1 of the whole text,
+    -2 and below of paragraphs of several lines.
     """
-    spark, known = files.sparkSession, Templates(templates, threshold)
+    pattern = r"\b(?:" + "|".join(anchors) + r")\b"
     text = F.coalesce(F.col("text"), F.lit(""))
-    anchored = lambda words: F.arrays_overlap(words, F.array(*[F.lit(w) for w in known.anchors]))
-    # A text in which no anchor occurs is gone before it is cut into lines.
-    pattern = r"\b(?:" + "|".join(dict((t, w) for w, t in NAMES).get(a, a) for a in known.anchors) + r")\b"
-    some = F.lower(text).rlike(pattern)
-    whole = files.where(some).select("id", F.size(_words(text)).alias("total"), F.filter(F.split(text, "[\r\n]+"), lambda x: F.trim(x) != "").alias("parts"))
-    # Units: each line, and each run of up to RUN lines, numbered by line and length.
+    # A text in which no anchor occurs is gone before it is cut into lines; a line without a word parts paragraphs.
+    lines = F.transform(F.split(F.lower(text), "\r\n|\r|\n"), lambda x: F.trim(F.regexp_replace(x, "[^a-z0-9]+", " ")))
+    whole = files.where(F.lower(text).rlike(pattern)).select("id", lines.alias("lines"))
+    whole = whole.select("id", F.filter("lines", lambda x: x != "").alias("parts"), F.filter(F.split(F.array_join("lines", "\n"), "\n{2,}"), lambda x: F.trim(x, F.lit("\n")) != "").alias("paragraphs"))
+    whole = whole.select("id", "parts", "paragraphs", F.array_join("parts", " ").alias("all")).withColumn("total", F.size(F.split("all", " ")))
     near = lambda k, n: F.array_join(F.slice("parts", k + 1, n), " ")
-    every = F.flatten(F.transform("parts", lambda _, k: F.array(*[F.when(k + n <= F.size("parts"), F.struct((k * RUN + n - 1).alias("unit"), near(k, n).alias("line"))) for n in range(1, RUN + 1)])))
-    lines = whole.select("id", "total", F.explode(F.filter(every, lambda x: x.isNotNull() & F.lower(x["line"]).rlike(pattern))).alias("x")).select("id", "total", "x.unit", "x.line")
-    units = lines.select("id", "total", "unit", _words("line").alias("words")).where(anchored(F.col("words"))).select("id", "total", "unit", F.size("words").alias("n"), "words")
+    some = lambda unit, line: F.struct(unit.cast("bigint").alias("unit"), line.alias("line"))
+    runs = F.flatten(F.transform("parts", lambda _, k: F.array(*[F.when(k + n <= F.size("parts"), some(k * RUN + n - 1, near(k, n))) for n in range(1, RUN + 1)])))
+    paragraphs = F.transform("paragraphs", lambda x, k: F.when(F.trim(x, F.lit("\n")).contains("\n"), some(-2 - k, F.trim(F.regexp_replace(x, "\n", " ")))))
+    every = F.concat(runs, paragraphs, F.array(F.when(F.size("parts") > RUN, some(F.lit(-1), F.col("all")))))
+    found = whole.select("id", "total", F.explode(F.filter(every, lambda x: x.isNotNull() & x["line"].rlike(pattern))).alias("x"))
+    return found.select("id", "total", "x.unit", F.split("x.line", " ").alias("words")).withColumn("n", F.size("words"))
+
+
+def own_licenses(files: DataFrame, threshold: float = THRESHOLD, share: float = FILE_SHARE) -> DataFrame:
+    """id, license, score, is_file of the files with a match; ``files`` has id and text.
+
+    The best unit gives the license: of those that hold most of the file, if there are any.
+    """
+    spark = files.sparkSession
+    often = written(frequencies(files), "frequencies")
+    texts = files.count()
+    known = Templates({r.term: r.texts for r in often.where(F.col("term").isin(Templates.terms())).collect()}, texts, threshold=threshold)
+    units = written(units_of(files, known.anchors), "units")
     term = units.select("id", "total", "unit", "n", F.explode("words").alias("term")).groupBy("id", "total", "unit", "n", "term").agg(F.count("*").alias("tf"))
-    idf = spark.createDataFrame(list(known.idf.items()), "term string, idf double")
-    weighed = term.join(F.broadcast(idf), "term", "left").withColumn("w", F.col("tf") * F.coalesce("idf", F.lit(known.unknown)))
+    weighed = term.join(often, "term").withColumn("w", F.col("tf") * F.log(1 + F.lit(float(texts)) / F.col("texts")))
     weights = spark.createDataFrame([(k, name, w, x) for k, (name, by) in enumerate(zip(known.names, known.weights)) for w, x in by.items()], "template int, license string, term string, x double")
-    norm = weighed.groupBy("id", "total", "unit", "n").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    dots = weighed.where("idf is not null").join(F.broadcast(weights), "term").groupBy("id", "unit", "template", "license").agg(F.sum(F.col("w") * F.col("x")).alias("dot"))
-    scored = dots.join(norm, ["id", "unit"]).withColumn("score", F.round(F.col("dot") / F.col("norm"), 6)).where(F.col("score") >= threshold)
-    best = scored.groupBy("id", "total", "unit", "n").agg(F.max(F.struct("score", F.lit("").alias("pad"))).alias("top"), F.collect_set(F.struct("score", "license")).alias("found"))
-    best = best.select("id", "total", "unit", "n", F.col("top.score").alias("score"), F.array_min(F.transform(F.filter("found", lambda x: x.score == F.col("top.score")), lambda x: x.license)).alias("license"))
-    per_file = best.groupBy("id", "total").agg(F.max("score").alias("score"), F.max("n").alias("longest"), F.sum(F.when(F.col("unit") % RUN == 0, F.col("n")).otherwise(0)).alias("words"), F.collect_set(F.struct("score", "license")).alias("found"))
-    per_file = per_file.select("id", "total", "score", F.array_min(F.transform(F.filter("found", lambda x: x.score == F.col("score")), lambda x: x.license)).alias("license"), F.greatest("words", "longest").alias("words"))
-    return per_file.select("id", "license", "score", (F.col("words") >= share * F.col("total")).alias("is_file"))
+    # The unit's norm and its products with all templates in one aggregation: a row without a template adds to the norm.
+    products = weighed.join(F.broadcast(weights.groupBy("term").agg(F.collect_list(F.struct("template", "license", "x")).alias("in_templates"))), "term", "left")
+    own = F.array(F.struct(F.lit(-1).alias("template"), F.lit("").alias("license"), F.col("w").alias("x")))
+    rows = products.select("id", "total", "unit", "n", "w", F.explode(F.concat(own, F.coalesce("in_templates", F.array().cast("array<struct<template:int,license:string,x:double>>")))).alias("t"))
+    sums = rows.groupBy("id", "total", "unit", "n", "t.template", "t.license").agg(F.sum(F.col("w") * F.col("t.x")).alias("dot"))
+    norm = sums.where("template = -1").select("id", "unit", F.sqrt("dot").alias("norm"))
+    scored = sums.where("template >= 0").join(norm, ["id", "unit"]).withColumn("score", F.round(F.col("dot") / F.col("norm"), 6)).where(F.col("score") >= threshold)
+    title = F.col("template").isin(list(TITLED)) & F.col("unit").between(0, RUN - 1)
+    best = scored.groupBy("id", "total", "unit", "n").agg(F.min(F.struct((-F.col("score")).alias("less"), "license")).alias("top"), F.max(title).alias("title"))
+    # A unit that holds most of the file counts before a shorter one.
+    first = F.struct((F.col("n") < share * F.col("total")).alias("part"), F.col("top.less").alias("less"), F.col("top.license").alias("license"))
+    per_file = best.groupBy("id", "total").agg(F.min(first).alias("top"), F.max("title").alias("title"), F.max("n").alias("longest"), F.sum(F.when((F.col("unit") >= 0) & (F.col("unit") % RUN == 0), F.col("n")).otherwise(0)).alias("lines"), F.sum(F.when(F.col("unit") < -1, F.col("n")).otherwise(0)).alias("paragraphs"))
+    return per_file.select("id", F.col("top.license").alias("license"), (-F.col("top.less")).alias("score"), (F.col("title") | (F.greatest("lines", "paragraphs", "longest") >= share * F.col("total"))).alias("is_file"))
 
 
 def directory(path: Column) -> Column:
@@ -181,30 +229,34 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _oracle() -> str:
-    known = Templates()
-    normal = lambda x: f"regexp_replace(regexp_replace(lower({x}), '\\b{NAMES[0][0]}\\b', '{NAMES[0][1]}', 'g'), '\\b{NAMES[1][0]}\\b', '{NAMES[1][1]}', 'g')"
     quote = lambda s: "'" + s.replace("'", "''") + "'"
-    idf = ", ".join(f"({quote(w)}, CAST({x!r} AS DOUBLE))" for w, x in known.idf.items())
-    weights = ", ".join(f"({k}, {quote(name)}, {quote(w)}, CAST({x!r} AS DOUBLE))" for k, (name, by) in enumerate(zip(known.names, known.weights)) for w, x in by.items())
+    counts = ", ".join(f"({k}, {quote(name)}, {quote(w)}, {n})" for k, (name, t) in enumerate(TEMPLATES) for w, n in sorted(Counter(_terms(t)).items()))
     return f"""
-WITH idf(term, idf) AS (VALUES {idf}), weights(template, license, term, x) AS (VALUES {weights}),
-f AS (SELECT doc_id, coalesce(source, '-') || '/' || coalesce(lang, '-') AS top, concat_ws('/', coalesce(source, '-'), coalesce(lang, '-'), CAST(CAST(floor(doc_id / 1000) AS BIGINT) AS VARCHAR)) AS own_dir, coalesce(text, '') AS text FROM documents),
+WITH tt(template, license, term, k) AS (VALUES {counts}),
+f AS (SELECT doc_id, coalesce(source, '-') || '/' || coalesce(lang, '-') AS top, concat_ws('/', coalesce(source, '-'), coalesce(lang, '-'), CAST(CAST(floor(doc_id / 1000) AS BIGINT) AS VARCHAR)) AS own_dir, lower(coalesce(text, '')) AS text FROM documents),
 p AS (SELECT *, own_dir || '/' || CAST(doc_id AS VARCHAR) AS path FROM f),
-l AS (SELECT doc_id, list_filter(string_split_regex(text, '[\r\n]+'), lambda x: trim(x) <> '') AS ps FROM p),
-k AS (SELECT doc_id, ps, unnest(range(0, len(ps))) AS k FROM l),
-u AS (SELECT doc_id, k * {RUN} + n - 1 AS unit, array_to_string(ps[k + 1 : k + n], ' ') AS line FROM k, (SELECT unnest(range(1, {RUN} + 1)) AS n) WHERE k + n <= len(ps)),
-w AS (SELECT doc_id, unit, list_filter(string_split_regex({normal('line')}, '[^a-z0-9]+'), lambda x: x <> '') AS words FROM u),
+df AS (SELECT term, count(*) AS texts FROM (SELECT unnest(list_distinct(string_split_regex(text, '[^a-z0-9]+'))) AS term FROM p) WHERE term <> '' GROUP BY ALL),
+nd AS (SELECT CAST(count(*) AS DOUBLE) AS texts FROM p),
+tw AS (SELECT template, license, term, k * ln(1 + nd.texts / coalesce(df.texts, 1)) AS x FROM tt LEFT JOIN df USING (term), nd),
+weights AS (SELECT template, license, term, x / sqrt(sum(x * x) OVER (PARTITION BY template)) AS x FROM tw),
+l AS (SELECT doc_id, list_transform(string_split_regex(text, '\r\n|\r|\n'), lambda x: trim(regexp_replace(x, '[^a-z0-9]+', ' ', 'g'))) AS lines FROM p),
+g AS (SELECT doc_id, list_filter(lines, lambda x: x <> '') AS ps, list_filter(string_split_regex(array_to_string(lines, chr(10)), '\n\n+'), lambda x: trim(x, chr(10)) <> '') AS gs FROM l),
+k AS (SELECT doc_id, ps, unnest(range(0, len(ps))) AS k FROM g),
+u AS (SELECT doc_id, k * {RUN} + n - 1 AS unit, array_to_string(ps[k + 1 : k + n], ' ') AS line FROM k, (SELECT unnest(range(1, {RUN} + 1)) AS n) WHERE k + n <= len(ps)
+  UNION ALL SELECT doc_id, -1, array_to_string(ps, ' ') FROM g WHERE len(ps) > {RUN}
+  UNION ALL SELECT doc_id, -2 - i, trim(replace(x, chr(10), ' ')) FROM (SELECT doc_id, unnest(gs) AS x, generate_subscripts(gs, 1) - 1 AS i FROM g) WHERE contains(trim(x, chr(10)), chr(10))),
+w AS (SELECT doc_id, unit, string_split(line, ' ') AS words FROM u),
 t AS (SELECT doc_id, unit, len(words) AS n, unnest(words) AS term FROM w),
 tf AS (SELECT doc_id, unit, n, term, count(*) AS tf FROM t GROUP BY ALL),
-x AS (SELECT tf.*, idf.idf, tf.tf * coalesce(idf.idf, CAST({known.unknown!r} AS DOUBLE)) AS w FROM tf LEFT JOIN idf USING (term)),
+x AS (SELECT tf.*, tf.tf * ln(1 + nd.texts / df.texts) AS w FROM tf JOIN df USING (term), nd),
 nm AS (SELECT doc_id, unit, n, sqrt(sum(w * w)) AS norm FROM x GROUP BY ALL),
-dt AS (SELECT doc_id, unit, template, license, sum(w * x) AS dot FROM x JOIN weights USING (term) WHERE x.idf IS NOT NULL GROUP BY ALL),
-sc AS (SELECT dt.doc_id, dt.unit, n, license, round(dot / norm, 6) AS score FROM dt JOIN nm USING (doc_id, unit) WHERE round(dot / norm, 6) >= {THRESHOLD}),
-bu AS (SELECT doc_id, unit, n, max(score) AS score FROM sc GROUP BY ALL),
-bl AS (SELECT doc_id, unit, n, score, min(license) AS license FROM sc JOIN bu USING (doc_id, unit, n, score) GROUP BY ALL),
-bf AS (SELECT doc_id, max(score) AS score, greatest(max(n), sum(CASE WHEN unit % {RUN} = 0 THEN n ELSE 0 END)) AS words FROM bl GROUP BY ALL),
-ow AS (SELECT bf.doc_id, bf.score, words, min(license) AS license FROM bf JOIN bl ON bf.doc_id = bl.doc_id AND bf.score = bl.score GROUP BY ALL),
-o AS (SELECT ow.doc_id, ow.license, ow.score, words >= {FILE_SHARE} * len(list_filter(string_split_regex({normal('p.text')}, '[^a-z0-9]+'), lambda x: x <> '')) AS is_file, p.own_dir, p.path FROM ow JOIN p USING (doc_id)),
+dt AS (SELECT doc_id, unit, template, license, sum(w * x) AS dot FROM x JOIN weights USING (term) GROUP BY ALL),
+sc AS (SELECT dt.doc_id, dt.unit, n, template, license, round(dot / norm, 6) AS score FROM dt JOIN nm USING (doc_id, unit) WHERE round(dot / norm, 6) >= {THRESHOLD}),
+tn AS (SELECT doc_id, len(list_filter(string_split_regex(text, '[^a-z0-9]+'), lambda x: x <> '')) AS total FROM p),
+bl AS (SELECT doc_id, unit, n, max(score) AS score, max(template >= {TITLED.start} AND unit BETWEEN 0 AND {RUN - 1}) AS title FROM sc GROUP BY ALL),
+ow AS (SELECT doc_id, max(title) AS title, greatest(max(n), sum(CASE WHEN unit >= 0 AND unit % {RUN} = 0 THEN n ELSE 0 END), sum(CASE WHEN unit < -1 THEN n ELSE 0 END)) AS words FROM bl GROUP BY ALL),
+li AS (SELECT doc_id, arg_min(license, (n < {FILE_SHARE} * total, -score, license)) AS license, arg_min(score, (n < {FILE_SHARE} * total, -score, license)) AS score FROM sc JOIN tn USING (doc_id) GROUP BY ALL),
+o AS (SELECT ow.doc_id, li.license, li.score, ow.title OR words >= {FILE_SHARE} * total AS is_file, p.own_dir, p.path FROM ow JOIN li USING (doc_id) JOIN p USING (doc_id) JOIN tn USING (doc_id)),
 bd AS (SELECT own_dir AS dir, arg_min(license, (-score, path)) AS inherited FROM o WHERE is_file GROUP BY ALL),
 an AS (SELECT DISTINCT own_dir, own_dir AS dir, 3 AS depth FROM p UNION SELECT DISTINCT own_dir, top, 2 FROM p UNION SELECT DISTINCT own_dir, split_part(own_dir, '/', 1), 1 FROM p UNION SELECT DISTINCT own_dir, '', 0 FROM p),
 nr AS (SELECT own_dir, arg_max(dir, depth) AS dir, arg_max(inherited, depth) AS inherited FROM an JOIN bd USING (dir) GROUP BY ALL)

@@ -121,10 +121,91 @@ def test_licenses_of_awkward_rows(spark):
 
 
 def test_anchors_lose_nothing():
-    known = licenses.Templates()
-    for by in known.weights:
-        rest = sum(x * x for w, x in by.items() if w not in known.anchors)
-        assert rest < licenses.THRESHOLD**2
+    for texts, often in ((10, {}), (10**6, {"the": 10**6, "license": 300, "under": 5000})):
+        known = licenses.Templates(often, texts)
+        for by in known.weights:
+            rest = sum(x * x for w, x in by.items() if w not in known.anchors)
+            assert rest < licenses.THRESHOLD**2
+
+
+WRAPPED = {
+    "MIT": """The MIT License (MIT)
+
+Copyright (c) 2019 Some One
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER
+LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM,
+OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE
+SOFTWARE.
+""",
+    "Apache-2.0": """
+                                 Apache License
+                           Version 2.0, January 2004
+                        http://www.apache.org/licenses/
+
+   TERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION
+
+   1. Definitions.
+
+      "License" shall mean the terms and conditions for use, reproduction,
+      and distribution as defined by Sections 1 through 9 of this document.
+
+      "Licensor" shall mean the copyright owner or entity authorized by
+      the copyright owner that is granting the License.
+
+      "Legal Entity" shall mean the union of the acting entity and all
+      other entities that control, are controlled by, or are under common
+      control with that entity.
+""",
+    "GPL-3.0": """                    GNU GENERAL PUBLIC LICENSE
+                       Version 3, 29 June 2007
+
+ Copyright (C) 2007 Free Software Foundation, Inc. <https://fsf.org/>
+ Everyone is permitted to copy and distribute verbatim copies
+ of this license document, but changing it is not allowed.
+
+                            Preamble
+
+  The GNU General Public License is a free, copyleft license for
+software and other kinds of works.
+""",
+}
+
+
+def test_wrapped_licence_files_are_found_and_inherited(spark):
+    bsd = "Copyright (c) 2020, Some One\nAll rights reserved.\n\n" + "\n\n".join("\n".join(x[k : k + 70] for k in range(0, len(x), 70)) for x in dict(licenses.TEXTS)["BSD-3-Clause"].replace("-", " ").split("\n"))
+    kinds = {**WRAPPED, "BSD-3-Clause": bsd, "ISC": "Copyright 2021 Some One\n\n" + dict(licenses.TEXTS)["ISC"]}
+    rows, n = [], 0
+    for name, text in kinds.items():
+        rows += [(n, f"{name}/LICENSE", text), (n + 1, f"{name}/src/deep/a.c", "int main() { return 0; }"), (n + 2, f"{name}/b.c", "// plain code\nint x;")]
+        n += 3
+    header = "".join(f"// {x}\n" for x in WRAPPED["MIT"].split("\n"))
+    rows += [(100, "Apache-2.0/c.c", header + "\nint code = 1;" * 400), (101, "Apache-2.0/sub/d.c", "more code")]
+    # Everyday words are common, so a statement with a few of them more is still one.
+    everyday = ["see", "the", "file", "in", "root", "directory", "for", "details", "this", "is", "of", "and", "repository", "code"]
+    rng = random.Random(2)
+    rows += [(1000 + i, f"other/{i}", " ".join(rng.sample(everyday, 12))) for i in range(300)]
+    rows += [(2000, None, "some text\nThis file is licensed under the Apache License, Version 2.0; see the LICENSE file in the root directory for details.\nmore text " + "here " * 60)]
+    got = {r.id: r for r in licenses.scan(spark.createDataFrame(rows, "id long, path string, text string")).collect()}
+    for k, name in enumerate(kinds):
+        assert (got[3 * k].license, got[3 * k].is_file) == (name, True), name
+        assert [got[3 * k + j].effective for j in (1, 2)] == [name, name] and got[3 * k + 1].from_dir == name
+    assert (got[100].license, got[100].is_file, got[101].effective) == ("MIT", False, "Apache-2.0")
+    assert (got[2000].license, got[2000].is_file) == ("Apache-2.0", False)
+    assert all(got[1000 + i].effective is None for i in range(300))
 
 
 # HTML
