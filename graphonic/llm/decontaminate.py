@@ -9,8 +9,9 @@ around it are compared word by word, so nothing is reported by hash alone.
 
 Two ways to join, by the benchmark's measured size:
 
-* at most ``broadcast_bytes`` of text: its index goes to every task once and
-  documents are scanned in place, without a shuffle;
+* at most ``index_bytes`` of index (sorted arrays of hashes and places, about
+  ten times the text): it is broadcast once and documents are scanned in place,
+  without a shuffle;
 * beyond: fingerprints, then candidate windows, are joined by shuffles
   (``left_semi`` on distinct keys, which adaptive execution can split).
 
@@ -33,7 +34,9 @@ from pyspark.sql import functions as F
 from .common import ALNUM, LOWER, ROW, byte_prefix, mixed, numbered, ragged, slices, span_hash, spans, table, text_bytes, written
 
 WINDOW, KGRAM = 10, 5
-BROADCAST_BYTES = 32_000_000
+#: Bytes of the benchmark's index up to which it is broadcast, and of its text up to which the index is made at all.
+INDEX_BYTES = 96_000_000
+TEXT_BYTES = INDEX_BYTES // 8
 
 HITS = "array<struct<start: int, end: int>>"
 SCHEMA = f"doc_id bigint, n_words bigint, n_hit bigint, n_items bigint, items_sha256 string, contaminated boolean, items array<string>, spans {HITS}"
@@ -60,6 +63,13 @@ class Words:
             out = out * np.uint64(0xD6E8FEB86659FD93) + self.hash[k : k + m]
         return mixed(out), self.doc[:m] == self.doc[n - 1 :]
 
+    def grams_at(self, at: np.ndarray, n: int) -> np.ndarray:
+        """The hash of the n words from each of some words on."""
+        out = np.zeros(len(at), np.uint64)
+        for k in range(n):
+            out = out * np.uint64(0xD6E8FEB86659FD93) + self.hash[at + k]
+        return mixed(out)
+
     def winnowed(self, k: int, w: int) -> tuple[np.ndarray, np.ndarray]:
         """Places and hashes of the smallest k-gram of each run of w that lies in one text."""
         grams, _ = self.grams(k)
@@ -77,42 +87,61 @@ class Words:
 
 
 class Index:
-    """Windows of benchmark items and the fingerprints that lead to them."""
+    """Windows of benchmark items as sorted hashes with their places, and the fingerprints that lead to them."""
 
     def __init__(self, items: list[tuple[str, str | None]], window: int = WINDOW, k: int = KGRAM):
         self.window, self.k = window, k
+        self.names = [item for item, _ in items]
         words = Words(pa.array([t for _, t in items], pa.string()))
-        self.items: dict[bytes, set[str]] = defaultdict(set)
-        short: dict[int, list[np.uint64]] = defaultdict(list)
-        grams = {n: words.grams(n)[0] for n in range(1, window)}
-        for j, (item, _) in enumerate(items):
-            a, b = int(words.first[j]), int(words.first[j + 1])
-            if b - a >= window:
-                for i in range(a, b - window + 1):
-                    self.items[words.run(i, window)].add(item)
-            elif b > a:
-                self.items[words.run(a, b - a)].add(item)
-                short[b - a].append(grams[b - a][a])
-        self.items = dict(self.items)
         self.prints = np.unique(words.winnowed(k, window - k + 1)[1])
-        self.short = {n: np.unique(np.array(h, np.uint64)) for n, h in short.items()}
-
-    def windows(self, words: Words) -> Iterator[tuple[int, int, bytes]]:
-        """(first word, number of words, words) of every place where a window occurs."""
-        at, h = words.winnowed(self.k, self.window - self.k + 1)
-        at = at[among(h, self.prints)]
-        if len(at):
-            reach = self.window - self.k + 1
-            lo = np.maximum(at - reach + 1, words.first[words.doc[at]])
-            hi = np.minimum(at, words.first[words.doc[at] + 1] - self.window)
-            for i in np.unique(ragged(lo, np.maximum(hi - lo + 1, 0))).tolist():
-                if (run := words.run(i, self.window)) in self.items:
-                    yield i, self.window, run
-        for n, known in self.short.items():
-            grams, inside = words.grams(n)
-            for i in np.flatnonzero(among(grams, known) & inside).tolist():
-                if (run := words.run(i, n)) in self.items:
-                    yield i, n, run
+        count = np.diff(words.first)
+        #: By number of words: hashes in order, and the place and item of each.
+        self.tables: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+        for n in np.unique(np.minimum(count, window)).tolist():
+            if n:
+                items_of = np.flatnonzero(count >= n if n == window else count == n)
+                each = count[items_of] - n + 1
+                place = ragged(words.first[items_of], each)
+                h = words.grams_at(place, n)
+                order = np.argsort(h, kind="stable")
+                self.tables[n] = h[order], place[order].astype(np.int32), np.repeat(items_of, each)[order].astype(np.int32)
+        self.lower, self.start, self.end = words.lower, words.start.astype(np.int32), words.end.astype(np.int32)
+
+    @property
+    def nbytes(self) -> int:
+        arrays = [self.prints, self.start, self.end, *(x for t in self.tables.values() for x in t)]
+        return len(self.lower) + sum(x.nbytes for x in arrays) + sum(50 + len(x) for x in self.names)
+
+    def run(self, i: int, n: int) -> bytes:
+        return b" ".join([self.lower[a:b] for a, b in zip(self.start[i : i + n].tolist(), self.end[i : i + n].tolist())])
+
+    def met(self, words: Words, at: np.ndarray, n: int) -> Iterator[tuple[int, int, set[str]]]:
+        """Those of the places at which n words are a window, compared word by word, with its items."""
+        known, place, item = self.tables[n]
+        h = words.grams_at(at, n)
+        low, high = np.searchsorted(known, h, side="left"), np.searchsorted(known, h, side="right")
+        for k in np.flatnonzero(low < high).tolist():
+            run, a, b = words.run(int(at[k]), n), int(low[k]), int(high[k])
+            # Equal hashes are equal words but for a collision: every different text behind the hash is looked at.
+            found = {self.names[j] for j, i in zip(item[a:b].tolist(), place[a:b].tolist()) if self.run(i, n) == run}
+            if found:
+                yield int(at[k]), n, found
+
+    def windows(self, words: Words) -> Iterator[tuple[int, int, set[str]]]:
+        """(first word, number of words, items) of every place where a window occurs."""
+        if self.window in self.tables:
+            at, h = words.winnowed(self.k, self.window - self.k + 1)
+            at = at[among(h, self.prints)]
+            if len(at):
+                reach = self.window - self.k + 1
+                lo = np.maximum(at - reach + 1, words.first[words.doc[at]])
+                hi = np.minimum(at, words.first[words.doc[at] + 1] - self.window)
+                yield from self.met(words, np.unique(ragged(lo, np.maximum(hi - lo + 1, 0))), self.window)
+        for n in self.tables:
+            if n < self.window:
+                grams, inside = words.grams(n)
+                at = np.flatnonzero(inside)
+                yield from self.met(words, at[among(grams[at], self.tables[n][0])], n)
 
 
 def among(h: np.ndarray, known: np.ndarray) -> np.ndarray:
@@ -140,17 +169,18 @@ def _row(doc: object, n: int, found: list[tuple[int, int]], items: set[str]) ->
 _ARROW = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_hit", pa.int64()), ("n_items", pa.int64()), ("items_sha256", pa.string()), ("contaminated", pa.bool_()), ("items", pa.list_(pa.string())), ("spans", pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))])
 
 
-def _scan(index: Index):
+def _scan(shared):
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = shared.value
         for whole in batches:
             for batch in slices(whole, "text"):
                 words = Words(batch.column(1))
                 found: dict[int, list[tuple[int, int]]] = defaultdict(list)
                 items: dict[int, set[str]] = defaultdict(set)
-                for i, n, run in index.windows(words):
+                for i, n, known in index.windows(words):
                     d = int(words.doc[i])
                     found[d].append((i - int(words.first[d]), n))
-                    items[d] |= index.items[run]
+                    items[d] |= known
                 counts = np.diff(words.first).tolist()
                 ids = batch.column(0).to_pylist()
                 yield pa.RecordBatch.from_pylist([_row(ids[d], counts[d], found.get(d, []), items.get(d, set())) for d in range(len(ids))], schema=_ARROW)
@@ -162,24 +192,29 @@ def _usable(benchmark: DataFrame) -> DataFrame:
     return benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id is not null and text is not null")
 
 
-def _size(bench: DataFrame) -> int:
-    return bench.agg(F.sum(F.octet_length("text") + F.octet_length("item_id"))).first()[0] or 0
+def _index(bench: DataFrame, window: int, k: int, index_bytes: int, text_bytes: int):
+    """The broadcast index of a benchmark; None where its text, measured first, or the index itself is beyond its bound."""
+    size = bench.agg(F.sum(F.octet_length("text") + F.octet_length("item_id"))).first()[0] or 0
+    if size > text_bytes:
+        return None
+    index = Index([(r.item_id, r.text) for r in bench.collect()], window, k)
+    return bench.sparkSession.sparkContext.broadcast(index) if index.nbytes <= index_bytes else None
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, k: int = KGRAM, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, k: int = KGRAM, index_bytes: int = INDEX_BYTES, text_bytes: int = TEXT_BYTES) -> DataFrame:
     """Per document: its words, words inside benchmark windows, the items met and the spans hit.
 
     ``docs`` has doc_id and text, ``benchmark`` item_id and text.
     """
     docs = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     bench = _usable(benchmark)
-    if _size(bench) <= broadcast_bytes:
-        index = Index([(r.item_id, r.text) for r in bench.collect()], window, k)
-        return docs.mapInArrow(_scan(index), SCHEMA)
+    shared = _index(bench, window, k, index_bytes, text_bytes)
+    if shared is not None:
+        return docs.mapInArrow(_scan(shared), SCHEMA)
     return _shuffled(docs, bench, window, k)
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, k: int = KGRAM, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, k: int = KGRAM, index_bytes: int = INDEX_BYTES, text_bytes: int = TEXT_BYTES) -> DataFrame:
     """The rows of docs, with all their columns, in which no benchmark window occurs.
 
     Within the broadcast bound rows are dropped where they are read; beyond it
@@ -187,13 +222,14 @@ def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, k: int =
     without a doc_id, or that share one, are judged one by one either way.
     """
     bench = _usable(benchmark)
-    if _size(bench) > broadcast_bytes:
+    shared = _index(bench, window, k, index_bytes, text_bytes)
+    if shared is None:
         rows = numbered(docs, "rows")
-        found = decontaminate(rows.select(F.col(ROW).alias("doc_id"), "text"), benchmark, window, k, broadcast_bytes).where("contaminated").select(F.col("doc_id").alias(ROW)).distinct()
+        found = _shuffled(rows.select(F.col(ROW).alias("doc_id"), F.col("text").cast("string").alias("text")), bench, window, k).where("contaminated").select(F.col("doc_id").alias(ROW)).distinct()
         return rows.join(found, ROW, "left_anti").select(docs.columns)
-    index = Index([(r.item_id, r.text) for r in bench.collect()], window, k)
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = shared.value
         for whole in batches:
             for batch in slices(whole, "text"):
                 words = Words(batch.column(batch.schema.get_field_index("text")))

@@ -3,8 +3,9 @@
 The tree splits a node at the byte-weighted median along its widest metadata
 dimension until ``shards`` leaves are reached (a power of two; each leaf then
 holds about the target bytes).  Widths are compared as parts of the whole
-table's range.  Equal values are told apart by doc_id, so that a dimension on
-which a third of all rows agree still splits evenly.
+table's range.  Equal values are told apart by doc_id, and rows of one doc_id
+by a written row number, so that a dimension, or a doc_id, on which a third of
+all rows agree still splits evenly.
 
 Medians are exact up to the bytes of one document and are found by sums over
 histograms: all nodes of a level at once, one narrow aggregation a round, with
@@ -16,8 +17,9 @@ numbers plus the counts of the tasks before it give gapless slots without
 gathering a shard in one task.
 
 Defined results: a null text has no bytes (size 1, checksum 0); null metadata
-counts as the smallest value; repeated doc_ids share a shard if their metadata
-agree; an empty table gives no rows; other columns are unread.
+counts as the smallest value, a null doc_id as the smallest of all; repeated
+doc_ids are rows of their own, which may part; an empty table gives no rows;
+other columns are unread; very long texts are sized whole.
 """
 
 from __future__ import annotations
@@ -28,6 +30,8 @@ from pyspark.sql import functions as F
 from .common import table, written
 
 SHARDS, BINS = 16, 256
+#: What stands for null: below any value.
+LEAST = -(1 << 40)
 #: Numbers of the named dimensions: size in bytes, hashed language and source, characters.
 DIMENSIONS = ("size", "lang", "source", "n_chars")
 
@@ -67,11 +71,13 @@ def _medians(rows: DataFrame, half: dict[int, int]) -> dict[int, tuple[int, int,
 def kd_tree(docs: DataFrame, dimensions: tuple[str, ...] = DIMENSIONS, shards: int = SHARDS) -> DataFrame:
     """doc_id, size and the other columns of docs with their leaf, 0 to shards - 1.
 
-    ``docs`` has doc_id, size and long columns named by ``dimensions``.
+    ``docs`` has doc_id, size and long columns named by ``dimensions``; ``row``, a distinct long, if it is written already.
     """
     if shards & (shards - 1):
         raise ValueError("shards must be a power of two")
     rows = docs.select("*", F.lit(1).cast("long").alias("node"))
+    if "row" not in docs.columns:
+        rows = written(rows.withColumn("row", F.monotonically_increasing_id()), "sizes")
     whole = rows.agg(*[(F.max(d) - F.min(d)).alias(d) for d in dimensions]).first()
     ranges = {d: max(whole[d] or 0, 1) for d in dimensions}
     for level in range(shards.bit_length() - 1):
@@ -88,16 +94,21 @@ def kd_tree(docs: DataFrame, dimensions: tuple[str, ...] = DIMENSIONS, shards: i
         keyed = rows.withColumn("key", key)
         at = _medians(keyed.select("node", "key", "size"), half)
         here = _case(F.col("node"), {n: v for n, (v, _, _) in at.items()}, "bigint")
-        # Rows that share the median value: the same search, by doc_id.
-        ties = keyed.where(F.col("key") == here).select("node", F.col("doc_id").alias("key"), "size")
+        # Rows that share the median value: the same search by doc_id, and then by row.
+        ties = keyed.where(F.col("key") == here).select("node", F.coalesce("doc_id", F.lit(LEAST)).alias("doc"), "row", "size")
         goal = {n: h - at[n][1] for n, h in half.items()}
+        by_doc = _medians(ties.select("node", F.col("doc").alias("key"), "size"), goal)
+        doc = _case(F.col("node"), {n: v for n, (v, _, _) in by_doc.items()}, "bigint")
+        goal = {n: h - by_doc[n][1] for n, h in goal.items()}
+        by_row = _medians(ties.where(F.col("doc") == doc).select("node", F.col("row").alias("key"), "size"), goal)
         # The median document itself goes to the side that it leaves closer to half.
-        last = {n: v if goal[n] - before >= before + w - goal[n] else v - 1 for n, (v, before, w) in _medians(ties, goal).items()}
-        right = (F.col("key") > here) | ((F.col("key") == here) & (F.col("doc_id") > _case(F.col("node"), last, "bigint")))
+        last = _case(F.col("node"), {n: v if goal[n] - before >= before + w - goal[n] else v - 1 for n, (v, before, w) in by_row.items()}, "bigint")
+        own = F.coalesce("doc_id", F.lit(LEAST))
+        right = (F.col("key") > here) | (F.col("key") == here) & ((own > doc) | (own == doc) & (F.col("row") > last))
         rows = keyed.withColumn("node", F.col("node") * 2 + F.when(right, 1).otherwise(0)).drop("key")
         if level % 2:
             rows = written(rows, "kd-level")
-    return rows.withColumn("shard", (F.col("node") - shards).cast("int")).drop("node")
+    return rows.withColumn("shard", (F.col("node") - shards).cast("int")).drop("node", "row")
 
 
 def with_slots(rows: DataFrame) -> DataFrame:
@@ -118,8 +129,7 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in 16 shards of nearly equal bytes."""
     docs = table(spark, sf_dir, "documents", "doc_id", "text", "lang", "source", "n_chars")
     text = F.coalesce(F.col("text"), F.lit(""))
-    least = -(1 << 40)
-    named = lambda c: F.coalesce(F.crc32(F.col(c).cast("binary")), F.lit(least)).alias(c)
-    narrow = docs.select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), named("lang"), named("source"), F.coalesce(F.col("n_chars").cast("long"), F.lit(least)).alias("n_chars"))
-    sharded = with_slots(kd_tree(written(narrow, "sizes")))
+    named = lambda c: F.coalesce(F.crc32(F.col(c).cast("binary")), F.lit(LEAST)).alias(c)
+    narrow = docs.select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), named("lang"), named("source"), F.coalesce(F.col("n_chars").cast("long"), F.lit(LEAST)).alias("n_chars"))
+    sharded = with_slots(kd_tree(written(narrow.withColumn("row", F.monotonically_increasing_id()), "sizes")))
     return sharded.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))

@@ -1,21 +1,25 @@
 """Token files: the Arrow IPC file format with fixed-size-list batches.
 
-Texts are dealt by ranges of doc_id and sorted; each task encodes its range and
-writes one file.  A row of a file is one sequence of ``length`` ids and its
+Texts are encoded where they are read; their ids, two bytes each where the
+vocabulary allows, are dealt by ranges of doc_id and sorted, and each task
+writes its range as one file.  A row of a file is one sequence of ``length`` ids and its
 mask, both fixed-size lists, so row i of an uncompressed file lies at a known
 place and a memory map gives it without a copy.  Ids are unsigned 16-bit where
 the vocabulary allows, else 32-bit.  Beside it lies an index file with doc_id,
 start in the file's ids and length of each document, since the end id may also
 be an ordinary token.
 
-A file is written under a name of its own attempt and renamed when whole, so a
-task that is run again leaves one complete file.  Paths with the scheme
+A file is written under a name of its own attempt, and the table of files,
+which Spark commits task by task, names those of the attempts that count: a
+task that is run again leaves a file that nothing names, and no file is moved
+or changed.  Paths with the scheme
 ``file`` are written directly (the folder is shared), others through Arrow's
 file systems.
 
 Defined results: a null or empty text is its end id alone; a null doc_id comes
-first; repeated doc_ids are written one after another; an empty table gives no
-files and no rows; other columns are unread.
+first; repeated doc_ids are written one after another, in order of their ids;
+an empty table gives no files and no rows; other columns are unread; very long
+texts are encoded whole.
 """
 
 from __future__ import annotations
@@ -60,21 +64,22 @@ class Writer:
     def __init__(self, folder: str, name: str, wide: bool, length: int = LENGTH, batch_rows: int = BATCH_ROWS):
         self.fs, self.folder = file_system(folder)
         self.fs.create_dir(self.folder, recursive=True)
-        self.name, self.attempt = name, f"{name}-{uuid.uuid4().hex}.part"
+        self.name = f"{name}-{uuid.uuid4().hex}.arrow"
         self.schema, self.kind = _schema(wide, length), np.dtype("<u4" if wide else "<u2")
         self.length, self.rows = length, batch_rows
-        self.sink = self.fs.open_output_stream(f"{self.folder}/{self.attempt}")
+        self.sink = self.fs.open_output_stream(f"{self.folder}/{self.name}")
         self.out = pa.ipc.new_file(self.sink, self.schema)
-        self.index_sink = self.fs.open_output_stream(f"{self.folder}/{self.attempt}.index")
+        self.index_sink = self.fs.open_output_stream(f"{self.folder}/{self.name}.index")
         self.index = pa.ipc.new_file(self.index_sink, _INDEX)
         self.rest = np.zeros(0, self.kind)
         self.total = 0
 
-    def add(self, docs: list, ids: list[bytes]) -> None:
-        counts = np.array([len(x) // 4 for x in ids], np.int64)
-        self.index.write_batch(pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(self.total + np.cumsum(counts) - counts), pa.array(counts)], schema=_INDEX))
+    def add(self, docs: pa.Array, ids: list[bytes]) -> None:
+        """Append documents whose ids are in the file's own width."""
+        counts = np.array([len(x) // self.kind.itemsize for x in ids], np.int64)
+        self.index.write_batch(pa.RecordBatch.from_arrays([docs, pa.array(self.total + np.cumsum(counts) - counts), pa.array(counts)], schema=_INDEX))
         self.total += int(counts.sum())
-        self.rest = np.concatenate([self.rest, np.frombuffer(b"".join(ids), "<u4").astype(self.kind)])
+        self.rest = np.concatenate([self.rest, np.frombuffer(b"".join(ids), self.kind)])
         whole = len(self.rest) // self.length // self.rows * self.rows * self.length
         if whole:
             self._write(self.rest[:whole], whole)
@@ -95,8 +100,6 @@ class Writer:
             self._write(padded, n)
         for x in (self.out, self.sink, self.index, self.index_sink):
             x.close()
-        for tail in ("", ".index"):
-            self.fs.move(f"{self.folder}/{self.attempt}{tail}", f"{self.folder}/{self.name}{tail}")
         return self.total
 
 
@@ -136,20 +139,29 @@ def sequence(folder: str, name: str, i: int, batch_rows: int = BATCH_ROWS) -> tu
 def write_files(docs: DataFrame, folder: str, tokenizer: str = "word_bpe_49k.json", end: int = 1, length: int = LENGTH) -> DataFrame:
     """Write token files in ascending doc_id order; (part, n_docs, n_tokens, name) of each file."""
 
-    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, out, encode, n = TaskContext.get().partitionId(), None, None, 0
+    wide = encoder(tokenizer, end).size > 1 << 16
+
+    def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encode = encoder(tokenizer, end).encode
         for whole in batches:
             for batch in slices(whole, "text"):
-                if out is None:
-                    encode = encoder(tokenizer, end)
-                    out = Writer(folder, f"part-{part:08d}.arrow", encode.size > 1 << 16, length)
-                out.add(batch.column(0).to_pylist(), encode.encode(batch.column(1).to_pylist()))
+                ids = encode(batch.column(1).to_pylist())
+                ids = ids if wide else [np.frombuffer(x, "<u4").astype("<u2").tobytes() for x in ids]
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary())], names=["doc_id", "ids"])
+
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, out, n = TaskContext.get().partitionId(), None, 0
+        for whole in batches:
+            for batch in slices(whole, "ids"):
+                out = out or Writer(folder, f"part-{part:08d}", wide, length)
+                out.add(batch.column(0), batch.column(1).to_pylist())
                 n += batch.num_rows
         if out is not None:
             yield pa.RecordBatch.from_pydict({"part": [part], "n_docs": [n], "n_tokens": [out.close()], "name": [out.name]})
 
-    ranged = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    ranged = ranged.repartitionByRange(F.col("doc_id")).sortWithinPartitions("doc_id")
+    # Written, since the ranges are found by a pass of its own, which would encode once more.
+    ids = written(docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(encoded, "doc_id bigint, ids binary"), "ids")
+    ranged = ids.repartitionByRange(F.col("doc_id")).sortWithinPartitions("doc_id", "ids")
     return written(ranged.mapInArrow(kernel, "part bigint, n_docs bigint, n_tokens bigint, name string"), "token-files")
 
 

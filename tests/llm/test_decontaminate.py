@@ -48,10 +48,10 @@ def test_equals_brute_force(spark, bound):
     items = [("1", pairs[0][1]), ("2", "W0É Word1 word2"), ("3", None), ("4", ""), ("5", "word5"), ("1", "word9 word10")]
     items += [(str(10 + k), " ".join(words(t)[3:20])) for k, (_, t) in enumerate(rng.sample(pairs[:60], 12))]
     bench = spark.createDataFrame(items, "item_id string, text string")
-    got = d.decontaminate(df, bench, broadcast_bytes=bound)
+    got = d.decontaminate(df, bench, text_bytes=bound)
     clean = [(i, t) for i, t in items if t is not None]
     assert pick(got) == brute(pairs, clean)
-    keep = d.clean(df, bench, broadcast_bytes=bound)
+    keep = d.clean(df, bench, text_bytes=bound)
     assert keep.columns == df.columns
     assert sorted(r.doc_id for r in keep.collect()) == sorted(x[0] for x in brute(pairs, clean) if not x[5])
 
@@ -78,3 +78,13 @@ def test_winnowing_misses_no_window(a, b):
     found = {(i, n) for i, n, _ in index.windows(d.Words(pa.array([text])))}
     known = {tuple(b[i : i + 10]) for i in range(len(b) - 9)}
     assert found == {(i, 10) for i in range(len(a) - 9) if tuple(a[i : i + 10]) in known}
+
+
+def test_size_of_the_index():
+    """The index of a benchmark near its bound is what it is measured as, about ten times its text."""
+    rng = random.Random(3)
+    items = [(str(i), " ".join(f"w{rng.randint(0, 99999)}" for _ in range(100))) for i in range(2000)]
+    index = d.Index(items)
+    text = sum(len(t) + len(i) for i, t in items)
+    assert index.nbytes < 8 * text and len(__import__("pickle").dumps(index)) < 1.2 * index.nbytes
+    assert {n for _, _, found in index.windows(d.Words(__import__("pyarrow").array([items[7][1]]))) for n in found} == {"7"}

@@ -91,6 +91,17 @@ def test_shards_are_near_equal_and_slots_gapless(spark):
     assert max(total.values()) - min(total.values()) <= 3 * max(size.values())
 
 
+def test_repeated_doc_ids_split_evenly(spark):
+    rows = [(7, 90, 1, 1, 1)] * 300 + [(None, 90, 1, 1, 1)] * 100 + [(i, 90, 1, 1, 1) for i in range(1000, 1200)]
+    table = spark.createDataFrame(rows, "doc_id long, size long, lang long, source long, n_chars long").repartition(5)
+    got = sharding.with_slots(sharding.kd_tree(table, shards=4)).collect()
+    total = defaultdict(int)
+    for r in got:
+        total[r.shard] += r.size
+    assert sorted(r.doc_id or 0 for r in got) == sorted(r[0] or 0 for r in rows)
+    assert set(total) == {0, 1, 2, 3} and max(total.values()) - min(total.values()) <= 2 * 90
+
+
 def test_sharding_query_on_awkward_rows(spark, tmp_path):
     docs(spark).write.parquet(str(tmp_path / "documents.parquet"))
     rows = sharding.op5_sharding(spark, str(tmp_path)).collect()
@@ -370,6 +381,23 @@ def test_machine_learns_pairs():
     assert (got == np.array(labels)).mean() > 0.97
 
 
+def test_scores_equal_sums_over_pairs():
+    """Logits against every weight and every pair's product, one by one."""
+    rng = np.random.default_rng(2)
+    texts = ["good words here", None, "", "words words good insultx", "groupy " * 3000 + "insultx", "éß insultx"]
+    machine = toxicity.Machine(-0.3, np.zeros(toxicity.BUCKETS, np.int32), rng.normal(size=40), rng.normal(size=(40, 5)))
+    _, bucket = toxicity.terms(pa.array(texts))
+    for k, b in enumerate(np.unique(bucket)[:40].tolist()):
+        machine.place[b] = k + 1
+    want = []
+    for t in texts:
+        _, mine = toxicity.terms(pa.array([t], pa.string()))
+        met = sorted({int(machine.place[b]) - 1 for b in mine.tolist()} - {-1})
+        z = machine.bias + sum(machine.weights[i] for i in met) + sum(float(machine.factors[i] @ machine.factors[j]) for k, i in enumerate(met) for j in met[:k])
+        want.append(1 / (1 + np.exp(-z)))
+    assert np.allclose(machine.scores(pa.array(texts)), want)
+
+
 def test_toxicity_on_awkward_rows(spark):
     df = docs(spark)
     labels = spark.createDataFrame([(i, None if i == 1 else int(i % 2)) for i in range(60)] + [(None, 1), (3, 1)], "doc_id long, toxic int")
@@ -408,6 +436,28 @@ def test_lm_prefers_what_it_has_seen(spark):
     assert lm_scoring.score(docs_).count() == 64 and lm_scoring.score(empty(spark)).count() == 0
 
 
+def test_scores_equal_the_pseudo_likelihood_word_by_word(spark):
+    """The sum over all words of the log-probability given both sides, computed one word at a time."""
+    texts = ["the cat sat on the mat", "The cat, the cat!", "a", None, "", "x " * 3000, "éß cat mat"]
+    df = spark.createDataFrame([(i, t, "clash", 1.0) for i, t in enumerate(texts)] + [(0, texts[0], "clash", 1.0)], "doc_id long, text string, n_words string, mean_log_likelihood double")
+    counts = lm_scoring.counted(df)
+    vocabulary = lm_scoring.Vocabulary.of(counts)
+    network = lm_scoring.trained(df, vocabulary, counts, 2)
+    rows = lm_scoring.scored(df, vocabulary, network).collect()
+    assert len(rows) == 8
+    for r in rows:
+        words, _ = lm_scoring.words_of(pa.array([texts[r.doc_id]], pa.string()))
+        kinds = [int(vocabulary.kind[w]) for w in words]
+        total = 0.0
+        for k, w in enumerate(words.tolist()):
+            hidden = np.zeros(lm_scoring.HIDDEN)
+            for place, p in enumerate(lm_scoring.PLACES):
+                hidden += network.first[place][kinds[k + p] if 0 <= k + p < len(kinds) else lm_scoring.PAD]
+            z = np.tanh(hidden) @ network.last + network.bias
+            total += z[kinds[k]] - np.log(np.exp(z).sum()) + vocabulary.share[w]
+        assert r.n_words == len(words) and abs(r.log_likelihood - total) < 1e-3 * max(1, len(words))
+
+
 def test_lm_probabilities_are_normalised():
     network = lm_scoring.Network(np.zeros(lm_scoring.CLASSES))
     _, z = network.forward([np.array([0, 5, lm_scoring.PAD])] * 4)

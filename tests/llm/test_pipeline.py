@@ -38,5 +38,5 @@ def test_rows_are_dropped_one_by_one(spark):
     rows = [(1, one, "kept"), (1, f"x {leak} y", "leak"), (None, leak, "leak without id"), (None, two, "kept without id"), (2, leak, "leak again"), (2, None, "null")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, note string").repartition(3)
     for bound in (10**9, 0):
-        got = decontaminate.clean(docs, bench, broadcast_bytes=bound).collect()
+        got = decontaminate.clean(docs, bench, text_bytes=bound).collect()
         assert sorted(r.note for r in got) == ["kept", "kept without id", "null"]
