@@ -16,8 +16,8 @@ from ..functions import phones as p
 from ..sources import spellings as s
 from ..sources.inline import Inline, with_tables
 
-_USED = sorted({ipa for r in s.SPEC_GRAPHEMES.rows if (ipa := r[3])} | set("iouydɡkvzʒθðxlrnŋøœɑʊ"))
-PHONES = Inline("phones", "phone string, vowel boolean, features array<double>", tuple((x, p.is_vowel(x), tuple(p.feature_vector(x))) for x in _USED))
+_USED = sorted({ipa for r in s.SPEC_GRAPHEMES.rows if (ipa := r[3])} | {r[3] for r in s.POSITIONAL.rows if r[3]} | set("iouydɡkvzʒθðxlrnŋøœɑʊ"))
+PHONES = Inline("phones", "phone string, known boolean, vowel boolean, features array<double>", tuple((x, p.vector(x) is not None, p.is_vowel(x), tuple(p.feature_vector(x))) for x in _USED))
 WEIGHTS = Inline("feature_weights", "place int, weight double, of_vowels boolean, of_consonants boolean", tuple((k, w, k in p.VOWEL_FEATURES, k in p.CONSONANT_FEATURES) for k, w in enumerate(p.WEIGHTS)))
 TYPES = Inline("type_distance", "a string, b string, d double", tuple((x, y, d) for a, row in {
     # Distances between types of script (fixed values).
@@ -33,22 +33,12 @@ SYLLABLE_WEIGHTS = Inline("syllable_weights", "word string, weights array<string
 RADIUS = 6371.0088
 
 
-def _ancestor_steps(spark: SparkSession, depth: int = 10) -> DataFrame:
-    """(code, ancestor, depth) of every spec over its parents, itself at 0; only parents that exist."""
-    specs = s.SPECS.df(spark).select("code", "parent", "clade", "name")
-    now = specs.select("code", F.col("code").alias("ancestor"), F.lit(0).alias("depth"))
-    out = now
-    up = specs.select(F.col("code").alias("ancestor"), F.col("parent").alias("next")).where("next is not null")
-    known = specs.select(F.col("code").alias("next"))
-    for _ in range(depth):
-        now = now.join(up, "ancestor").join(known, "next").select("code", F.col("next").alias("ancestor"), (F.col("depth") + 1).alias("depth"))
-        if now.isEmpty():
-            break
-        out = out.unionByName(now)
-    return out
+def _ancestor_steps(spark: SparkSession) -> DataFrame:
+    """(code, ancestor, depth) of every spec over its parents, itself at 0; only parents that exist, each once."""
+    return spark.sql(f"WITH RECURSIVE {_STEPS_SQL.replace('list_contains', 'array_contains').replace('[code]', 'array(code)').replace('list_append', 'array_append')} SELECT code, ancestor, depth FROM st".replace("specs", "{specs}"), specs=s.SPECS.df(spark))
 
 
-_STEPS_SQL = "st AS (SELECT code, code AS ancestor, 0 AS depth FROM specs UNION ALL SELECT st.code, k.code, depth + 1 FROM st JOIN specs c ON c.code = st.ancestor JOIN specs k ON k.code = c.parent WHERE depth < 10)"
+_STEPS_SQL = "st AS (SELECT code, code AS ancestor, 0 AS depth, [code] AS path FROM specs UNION ALL SELECT st.code, k.code, depth + 1, list_append(path, k.code) FROM st JOIN specs c ON c.code = st.ancestor JOIN specs k ON k.code = c.parent WHERE NOT list_contains(path, k.code))"
 
 
 def resolved_graphemes(spark: SparkSession) -> DataFrame:
@@ -111,16 +101,16 @@ def _phone_pairs(spark: SparkSession) -> DataFrame:
     ph = PHONES.df(spark)
     w = F.array(*[F.lit(x) for x in p.WEIGHTS])
     mask = lambda chosen: F.array(*[F.lit(float(k in chosen)) for k in range(len(p.FEATURES))])
-    a, b = ph.toDF("a", "va", "fa"), ph.toDF("b", "vb", "fb")
+    a, b = ph.toDF("a", "ka", "va", "fa"), ph.toDF("b", "kb", "vb", "fb")
     kind = F.when(F.col("va"), mask(p.VOWEL_FEATURES)).otherwise(mask(p.CONSONANT_FEATURES))
     add = lambda acc, x: acc + x
     differ = F.zip_with(F.zip_with("fa", "fb", lambda x, y: (x != y).cast("double")), F.zip_with(w, kind, lambda x, y: x * y), lambda x, y: x * y)
     total = F.aggregate(F.zip_with(w, kind, lambda x, y: x * y), F.lit(0.0), add)
-    d = F.when(F.col("a") == F.col("b"), 0.0).when(F.col("va") != F.col("vb"), 1.0).otherwise(F.least(F.lit(1.0), F.aggregate(differ, F.lit(0.0), add) / total * F.when(F.col("va"), 1.0).otherwise(2.0)))
+    d = F.when(F.col("a") == F.col("b"), 0.0).when((F.col("va") != F.col("vb")) | ~F.col("ka") | ~F.col("kb"), 1.0).otherwise(F.least(F.lit(1.0), F.aggregate(differ, F.lit(0.0), add) / total * F.when(F.col("va"), 1.0).otherwise(2.0)))
     return a.crossJoin(F.broadcast(b)).select("a", "b", d.alias("d"))
 
 
-_PHONE_SQL = "fp AS (SELECT phone, vowel, unnest(features) AS x, generate_subscripts(features, 1) - 1 AS place FROM phones), pp AS (SELECT a.phone AS a, b.phone AS b, CASE WHEN a.phone = b.phone THEN CAST(0 AS DOUBLE) WHEN any_value(a.vowel) <> any_value(b.vowel) THEN CAST(1 AS DOUBLE) ELSE least(CAST(1 AS DOUBLE), sum(CASE WHEN a.x <> b.x AND (CASE WHEN a.vowel THEN of_vowels ELSE of_consonants END) THEN weight ELSE 0 END) / sum(CASE WHEN (CASE WHEN a.vowel THEN of_vowels ELSE of_consonants END) THEN weight ELSE 0 END) * CASE WHEN any_value(a.vowel) THEN 1 ELSE 2 END) END AS d FROM fp a JOIN fp b USING (place) JOIN feature_weights USING (place) GROUP BY a.phone, b.phone)"
+_PHONE_SQL = "fp AS (SELECT phone, known, vowel, unnest(features) AS x, generate_subscripts(features, 1) - 1 AS place FROM phones), pp AS (SELECT a.phone AS a, b.phone AS b, CASE WHEN a.phone = b.phone THEN CAST(0 AS DOUBLE) WHEN any_value(a.vowel) <> any_value(b.vowel) OR NOT any_value(a.known) OR NOT any_value(b.known) THEN CAST(1 AS DOUBLE) ELSE least(CAST(1 AS DOUBLE), sum(CASE WHEN a.x <> b.x AND (CASE WHEN a.vowel THEN of_vowels ELSE of_consonants END) THEN weight ELSE 0 END) / sum(CASE WHEN (CASE WHEN a.vowel THEN of_vowels ELSE of_consonants END) THEN weight ELSE 0 END) * CASE WHEN any_value(a.vowel) THEN 1 ELSE 2 END) END AS d FROM fp a JOIN fp b USING (place) JOIN feature_weights USING (place) GROUP BY a.phone, b.phone)"
 
 
 def segment_distance_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -141,15 +131,23 @@ def inventory_mean_min(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.where("code_a < code_b").join(back, ["code_a", "code_b"]).select("code_a", "code_b", F.round((F.col("d") + F.col("e")) / 2, 9).alias("feature_mean"))
 
 
-def grapheme_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Over shared graphemes: the mean of each reading's distance to the nearest of the other side."""
+def _divergence(spark: SparkSession) -> DataFrame:
+    """code_a, code_b, shared, divergence: over shared graphemes the mean distance of each reading to the nearest of the other side.
+
+    A silent reading is looked for by none and 1 away from any; a grapheme
+    without another reading counts 1.
+    """
     g = resolved_graphemes(spark).select("code", F.lower("grapheme").alias("grapheme"), "ipa")
     a, b = g.toDF("code_a", "grapheme", "a"), g.toDF("code_b", "grapheme", "b")
-    both = a.join(b, "grapheme").where("code_a < code_b").join(F.broadcast(_phone_pairs(spark)), ["a", "b"])
+    both = a.join(b, "grapheme").where("code_a < code_b").join(F.broadcast(_phone_pairs(spark)), ["a", "b"], "left").withColumn("d", F.coalesce("d", F.lit(1.0)))
     keys = ["code_a", "code_b", "grapheme"]
-    one = lambda x: both.groupBy(*keys, x).agg(F.min("d").alias("d")).select(*keys, "d")
-    per = one("a").unionAll(one("b")).groupBy(*keys).agg(F.avg("d").alias("d"))
-    return per.groupBy("code_a", "code_b").agg(F.count("*").alias("shared"), F.round(F.avg("d"), 9).alias("divergence"))
+    one = lambda x: both.groupBy(*keys, x).agg(F.min("d").alias("d")).select(*keys, F.when(F.col(x) != "", F.col("d")).alias("d"))
+    per = one("a").unionAll(one("b")).groupBy(*keys).agg(F.coalesce(F.avg("d"), F.lit(1.0)).alias("d"))
+    return per.groupBy("code_a", "code_b").agg(F.count("*").alias("shared"), F.avg("d").alias("divergence"))
+
+
+def grapheme_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _divergence(spark).select("code_a", "code_b", "shared", F.round("divergence", 9).alias("divergence"))
 
 
 def spelling_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -184,17 +182,56 @@ def script_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _scripts(spark).select("script_a", "script_b", F.round("d", 9).alias("distance"))
 
 
+def _ancestry(spark: SparkSession, max_depth: int = 10) -> DataFrame:
+    """code, ancestor, weight: the strongest product of weights over all paths of at most max_depth further steps."""
+    return spark.sql(
+        "WITH RECURSIVE r AS (SELECT code, ancestor, weight, 0 AS depth FROM {edges} UNION ALL SELECT r.code, e.ancestor, r.weight * e.weight, depth + 1 FROM r JOIN {edges} e ON e.code = r.ancestor WHERE depth < {most}) SELECT code, ancestor, max(weight) AS weight FROM r GROUP BY code, ancestor",
+        edges=s.EDGES.df(spark).select("code", "ancestor", "weight"), most=max_depth,
+    )
+
+
 def ancestry_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The strongest product of weights over all paths to each ancestor."""
-    edges = s.EDGES.df(spark).select("code", "ancestor", "weight")
-    now = out = edges
-    up = edges.toDF("ancestor", "next", "w")
-    for _ in range(10):
-        now = now.join(up, "ancestor").select("code", F.col("next").alias("ancestor"), (F.col("weight") * F.col("w")).alias("weight"))
-        if now.isEmpty():
-            break
-        out = out.unionByName(now)
-    return out.groupBy("code", "ancestor").agg(F.round(F.max("weight"), 9).alias("weight"))
+    return _ancestry(spark).select("code", "ancestor", F.round("weight", 9).alias("weight"))
+
+
+def _similarity(spark: SparkSession) -> DataFrame:
+    """code_a, code_b, similarity of pairs of listed specs: the best product over shared ancestors, or a direct path if that is stronger."""
+    w = _ancestry(spark)
+    pairs = _pairs(s.SPECS.df(spark).where("not clade").select("code"))
+    x, y = w.toDF("code_a", "ancestor", "wa"), w.toDF("code_b", "ancestor", "wb")
+    shared = x.join(y, "ancestor").where("code_a < code_b").groupBy("code_a", "code_b").agg(F.max(F.col("wa") * F.col("wb")).alias("shared"))
+    up, down = w.toDF("code_b", "code_a", "up"), w.toDF("code_a", "code_b", "down")
+    both = pairs.join(shared, ["code_a", "code_b"], "left").join(up, ["code_a", "code_b"], "left").join(down, ["code_a", "code_b"], "left")
+    return both.select("code_a", "code_b", F.coalesce(F.greatest("up", F.coalesce("shared", F.lit(0.0)), F.when(F.col("up").isNull(), F.col("down"))), F.lit(0.0)).alias("similarity"))
+
+
+def ancestry_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _similarity(spark).select("code_a", "code_b", F.round("similarity", 9).alias("similarity"))
+
+
+def orthographic_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """0.6 of the script distance and 0.4 of the grapheme divergence; the latter alone within one script."""
+    named = s.SPECS.df(spark).where("not clade").select("code", "script")
+    pairs = _pairs(named).withColumn("script_1", F.least("script_a", "script_b")).withColumn("script_2", F.greatest("script_a", "script_b"))
+    scripts = _scripts(spark).toDF("script_1", "script_2", "script")
+    both = pairs.join(F.broadcast(scripts), ["script_1", "script_2"], "left").join(_divergence(spark), ["code_a", "code_b"], "left")
+    script = F.when(F.col("script_a") == F.col("script_b"), 0.0).otherwise(F.coalesce("script", F.lit(0.5)))
+    g = F.coalesce("divergence", F.lit(1.0))
+    return both.select("code_a", "code_b", F.round(F.when(script == 0, g).otherwise(0.6 * script + 0.4 * g), 9).alias("distance"))
+
+
+def positional_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Over all graphemes with positional readings of either language: what their first readings by position differ in, 1 where one has none."""
+    first = s.POSITIONAL.df(spark).groupBy("lang", "grapheme", "position").agg(F.min("ipa").alias("ipa"))
+    langs = first.select(F.col("lang").alias("code")).distinct()
+    x, y = first.toDF("code_a", "grapheme", "position", "a"), first.toDF("code_b", "grapheme", "position", "b")
+    pairs = _pairs(langs)
+    ours, theirs = pairs.join(x, "code_a"), pairs.join(y, "code_b")
+    at = ["code_a", "code_b", "grapheme"]
+    slots = ours.join(theirs, [*at, "position"], "full").join(F.broadcast(_phone_pairs(spark)), ["a", "b"], "left")
+    d = F.when(F.col("a").isNull() | F.col("b").isNull(), 1.0).when(F.col("a") == F.col("b"), 0.0).otherwise(F.coalesce("d", F.lit(1.0)))
+    per = slots.groupBy(*at).agg(F.when((F.count("a") == 0) | (F.count("b") == 0), 1.0).otherwise(F.avg(d)).alias("d"))
+    return per.groupBy("code_a", "code_b").agg(F.round(F.least(F.lit(1.0), F.avg("d")), 9).alias("divergence"))
 
 
 def family_path(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -279,18 +316,44 @@ def slot_costs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return w.join(F.broadcast(sums), "grapheme").select("grapheme", "rank", "ipa", F.round(cost, 9).alias("cost"))
 
 
+def _phonological(spark: SparkSession) -> DataFrame:
+    """code_a, code_b, feature_mean, overlap, combined: 0.6 of the inventories' feature mean and 0.4 of what their allophones do not share."""
+    both = inventory_mean_min(spark, "").join(allophone_overlap(spark, ""), ["code_a", "code_b"])
+    return both.withColumn("combined", 0.6 * F.col("feature_mean") + 0.4 * (1 - F.col("overlap")))
+
+
 def phonological_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """0.6 of the inventories' feature mean and 0.4 of what their allophones do not share."""
-    both = inventory_mean_min(spark, sf_dir).join(allophone_overlap(spark, sf_dir), ["code_a", "code_b"])
-    return both.select("code_a", "code_b", F.round(0.6 * F.col("feature_mean") + 0.4 * (1 - F.col("overlap")), 6).alias("distance"))
+    return _phonological(spark).select("code_a", "code_b", F.round("combined", 6).alias("distance"))
+
+
+def full_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """0.6 of the phonological distance and 0.4 of what ancestry does not share."""
+    both = _phonological(spark).join(_similarity(spark), ["code_a", "code_b"])
+    return both.select("code_a", "code_b", F.round(0.6 * F.col("combined") + 0.4 * (1 - F.col("similarity")), 6).alias("distance"))
+
+
+#: Weights of inventory, graphemes, allophones and ancestry (fixed values).
+PARTS = (0.25, 0.20, 0.15, 0.40)
+
+
+def weighted_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The four distances by their weights; two languages without a shared grapheme are 1 apart in that part."""
+    both = _phonological(spark).join(_similarity(spark), ["code_a", "code_b"]).join(_divergence(spark), ["code_a", "code_b"], "left")
+    parts = (F.col("feature_mean"), F.coalesce("divergence", F.lit(1.0)), 1 - F.col("overlap"), 1 - F.col("similarity"))
+    total = sum((w * x for w, x in zip(PARTS, parts)), F.lit(0.0)) / sum(PARTS)
+    return both.select("code_a", "code_b", F.round(total, 6).alias("distance"))
 
 
-QUERIES = {f.__name__: f for f in (spec_graphemes_resolved, missing_parents, emission_inventory, phoneme_jaccard, phoneme_coverage, segment_distance_matrix, inventory_mean_min, grapheme_divergence, spelling_divergence, allophone_overlap, tone_distance, script_distance, ancestry_weights, family_path, nearest_data_ancestor, geo_distance, temporal_distance, dead_rules, families, tag_alias_chain, nearest_tag, weight_stress, slot_costs, phonological_distance)}
+QUERIES = {f.__name__: f for f in (ancestry_similarity, weighted_distance, orthographic_distance, positional_divergence, full_distance, spec_graphemes_resolved, missing_parents, emission_inventory, phoneme_jaccard, phoneme_coverage, segment_distance_matrix, inventory_mean_min, grapheme_divergence, spelling_divergence, allophone_overlap, tone_distance, script_distance, ancestry_weights, family_path, nearest_data_ancestor, geo_distance, temporal_distance, dead_rules, families, tag_alias_chain, nearest_tag, weight_stress, slot_costs, phonological_distance)}
 
 _BASE = with_tables(s.SPECS, s.SPEC_GRAPHEMES, s.SPEC_ALLOPHONES, s.SPEC_RULES, s.SPEC_TONES, PHONES, WEIGHTS) + ", " + _RESOLVED_SQL
 _ALL = f"{_BASE}, {_PHONE_SQL}"
 _MEAN = "mm AS (SELECT x.code AS code_a, y.code AS code_b, x.ipa, min(d) AS d FROM inv x JOIN inv y ON x.code <> y.code JOIN pp ON pp.a = x.ipa AND pp.b = y.ipa GROUP BY ALL), m2 AS (SELECT code_a, code_b, avg(d) AS d FROM mm GROUP BY ALL), im AS (SELECT a.code_a, a.code_b, round((a.d + b.d) / 2, 9) AS feature_mean FROM m2 a JOIN m2 b ON a.code_a = b.code_b AND a.code_b = b.code_a WHERE a.code_a < a.code_b)"
 _OVERLAP = "re AS (SELECT DISTINCT code, surface FROM spec_allophones WHERE surface NOT IN ('', '∅')), li AS (SELECT code FROM specs WHERE NOT clade), ao AS (SELECT a.code AS code_a, b.code AS code_b, (SELECT count(*) FROM re x JOIN re y USING (surface) WHERE x.code = a.code AND y.code = b.code) AS i, (SELECT count(*) FROM re x WHERE x.code = a.code) + (SELECT count(*) FROM re x WHERE x.code = b.code) AS t FROM li a JOIN li b ON a.code < b.code), ov AS (SELECT code_a, code_b, round(CASE WHEN t = 0 THEN CAST(1 AS DOUBLE) ELSE i / CAST(t - i AS DOUBLE) END, 9) AS overlap FROM ao)"
+_DIVERGENCE = "bo AS (SELECT x.code AS code_a, y.code AS code_b, lower(x.grapheme) AS g, x.ipa AS a, y.ipa AS b, coalesce(d, 1) AS d FROM rg x JOIN rg y ON lower(x.grapheme) = lower(y.grapheme) AND x.code < y.code LEFT JOIN pp ON pp.a = x.ipa AND pp.b = y.ipa), pe AS (SELECT code_a, code_b, g, coalesce(avg(d), 1) AS d FROM (SELECT code_a, code_b, g, CASE WHEN a <> '' THEN min(d) END AS d FROM bo GROUP BY code_a, code_b, g, a UNION ALL SELECT code_a, code_b, g, CASE WHEN b <> '' THEN min(d) END FROM bo GROUP BY code_a, code_b, g, b) GROUP BY ALL), gd AS (SELECT code_a, code_b, count(*) AS shared, avg(d) AS divergence FROM pe GROUP BY ALL)"
+_ANCESTRY = "aq AS (SELECT code, ancestor, weight, 0 AS depth FROM edges UNION ALL SELECT aq.code, e.ancestor, aq.weight * e.weight, depth + 1 FROM aq JOIN edges e ON e.code = aq.ancestor WHERE depth < 10), aw AS (SELECT code, ancestor, max(weight) AS weight FROM aq GROUP BY ALL)"
+_SIMILAR = "sh AS (SELECT x.code AS code_a, y.code AS code_b, max(x.weight * y.weight) AS shared FROM aw x JOIN aw y USING (ancestor) WHERE x.code < y.code GROUP BY ALL), si AS (SELECT a.code AS code_a, b.code AS code_b, CASE WHEN u.weight IS NOT NULL THEN greatest(u.weight, coalesce(shared, 0)) WHEN w.weight IS NOT NULL THEN greatest(w.weight, coalesce(shared, 0)) ELSE least(coalesce(shared, 0), 1) END AS similarity FROM specs a JOIN specs b ON a.code < b.code AND NOT a.clade AND NOT b.clade LEFT JOIN sh ON sh.code_a = a.code AND sh.code_b = b.code LEFT JOIN aw u ON u.code = b.code AND u.ancestor = a.code LEFT JOIN aw w ON w.code = a.code AND w.ancestor = b.code)"
+_SCRIPT = "SELECT a.script AS script_a, b.script AS script_b, greatest(0.0, least(1.0, CAST(0.4 AS DOUBLE) * CASE WHEN a.kind = b.kind THEN 0 ELSE coalesce(d, 0.5) END + CAST(0.15 AS DOUBLE) * (a.direction <> b.direction)::INT + CAST(0.15 AS DOUBLE) * abs(a.vowels - b.vowels) / CAST(3 AS DOUBLE) + CAST(0.05 AS DOUBLE) * (a.has_case <> b.has_case)::INT + CAST(0.25 AS DOUBLE) * (1 - CASE WHEN len(a.ancestors) = 0 OR len(b.ancestors) = 0 THEN CAST(0 AS DOUBLE) ELSE len(list_intersect(a.ancestors, b.ancestors)) / CAST(len(list_distinct(list_concat(a.ancestors, b.ancestors))) AS DOUBLE) END))) AS d FROM scripts a JOIN scripts b ON a.script < b.script LEFT JOIN type_distance t ON t.a = a.kind AND t.b = b.kind"
 ORACLE_SQL = {
     "spec_graphemes_resolved": f"{_BASE} SELECT code, grapheme, rank, ipa FROM rg",
     "missing_parents": f"{with_tables(s.SPECS)} SELECT code, parent FROM specs WHERE parent IS NOT NULL AND parent NOT IN (SELECT code FROM specs)",
@@ -299,12 +362,17 @@ ORACLE_SQL = {
     "phoneme_coverage": f"{_BASE} SELECT a.code AS native, b.code AS target, round(count(*) FILTER (a.ipa = b.ipa) / CAST(count(DISTINCT b.ipa) AS DOUBLE), 9) AS coverage FROM inv a JOIN inv b ON a.code <> b.code GROUP BY ALL",
     "segment_distance_matrix": f"{_ALL} SELECT a, b, round(d, 9) AS distance FROM pp",
     "inventory_mean_min": f"{_ALL}, {_MEAN} SELECT * FROM im",
-    "grapheme_divergence": f"{_ALL}, bo AS (SELECT x.code AS code_a, y.code AS code_b, lower(x.grapheme) AS g, x.ipa AS a, y.ipa AS b, d FROM rg x JOIN rg y ON lower(x.grapheme) = lower(y.grapheme) AND x.code < y.code JOIN pp ON pp.a = x.ipa AND pp.b = y.ipa), pe AS (SELECT code_a, code_b, g, avg(d) AS d FROM (SELECT code_a, code_b, g, min(d) AS d FROM bo GROUP BY code_a, code_b, g, a UNION ALL SELECT code_a, code_b, g, min(d) FROM bo GROUP BY code_a, code_b, g, b) GROUP BY ALL) SELECT code_a, code_b, count(*) AS shared, round(avg(d), 9) AS divergence FROM pe GROUP BY ALL",
+    "grapheme_divergence": f"{_ALL}, {_DIVERGENCE} SELECT code_a, code_b, shared, round(divergence, 9) AS divergence FROM gd",
     "spelling_divergence": f"{_BASE}, gs AS (SELECT code, ipa, list_sort(list_distinct(list(lower(grapheme)))) AS xs FROM rg GROUP BY ALL) SELECT a.code AS code_a, b.code AS code_b, count(*) AS shared, round(avg(1 - len(list_intersect(a.xs, b.xs)) / CAST(len(list_distinct(list_concat(a.xs, b.xs))) AS DOUBLE)), 9) AS divergence FROM gs a JOIN gs b ON a.ipa = b.ipa AND a.code < b.code GROUP BY ALL",
     "allophone_overlap": f"{_BASE}, {_OVERLAP} SELECT * FROM ov",
     "tone_distance": f"{with_tables(s.SPECS, s.SPEC_TONES)}, li AS (SELECT code FROM specs WHERE NOT clade), k AS (SELECT a.code AS code_a, b.code AS code_b, (SELECT count(*) FROM spec_tones x JOIN spec_tones y USING (tone) WHERE x.code = a.code AND y.code = b.code) AS i, (SELECT count(*) FROM spec_tones x WHERE x.code = a.code OR x.code = b.code) AS t FROM li a JOIN li b ON a.code < b.code) SELECT code_a, code_b, round(CASE WHEN t = 0 THEN CAST(0 AS DOUBLE) ELSE 1 - i / CAST(t - i AS DOUBLE) END, 9) AS distance FROM k",
-    "script_distance": f"{with_tables(s.SCRIPTS, TYPES)} SELECT a.script AS script_a, b.script AS script_b, round(greatest(0.0, least(1.0, CAST(0.4 AS DOUBLE) * CASE WHEN a.kind = b.kind THEN 0 ELSE coalesce(d, 0.5) END + CAST(0.15 AS DOUBLE) * (a.direction <> b.direction)::INT + CAST(0.15 AS DOUBLE) * abs(a.vowels - b.vowels) / CAST(3 AS DOUBLE) + CAST(0.05 AS DOUBLE) * (a.has_case <> b.has_case)::INT + CAST(0.25 AS DOUBLE) * (1 - CASE WHEN len(a.ancestors) = 0 OR len(b.ancestors) = 0 THEN CAST(0 AS DOUBLE) ELSE len(list_intersect(a.ancestors, b.ancestors)) / CAST(len(list_distinct(list_concat(a.ancestors, b.ancestors))) AS DOUBLE) END))), 9) AS distance FROM scripts a JOIN scripts b ON a.script < b.script LEFT JOIN type_distance t ON t.a = a.kind AND t.b = b.kind",
-    "ancestry_weights": f"{with_tables(s.EDGES)}, r AS (SELECT code, ancestor, weight FROM edges UNION ALL SELECT r.code, e.ancestor, r.weight * e.weight FROM r JOIN edges e ON e.code = r.ancestor) SELECT code, ancestor, round(max(weight), 9) AS weight FROM r GROUP BY ALL",
+    "script_distance": f"{with_tables(s.SCRIPTS, TYPES)} SELECT script_a, script_b, round(d, 9) AS distance FROM ({_SCRIPT})",
+    "ancestry_weights": f"{with_tables(s.EDGES)}, {_ANCESTRY} SELECT code, ancestor, round(weight, 9) AS weight FROM aw",
+    "ancestry_similarity": f"{with_tables(s.EDGES, s.SPECS)}, {_ANCESTRY}, {_SIMILAR} SELECT code_a, code_b, round(similarity, 9) AS similarity FROM si",
+    "orthographic_distance": f"{with_tables(s.SPECS, s.SPEC_GRAPHEMES, PHONES, WEIGHTS, s.SCRIPTS, TYPES)}, {_RESOLVED_SQL}, {_PHONE_SQL}, {_DIVERGENCE}, sd AS ({_SCRIPT}), od AS (SELECT a.code AS code_a, b.code AS code_b, CASE WHEN a.script = b.script THEN CAST(0 AS DOUBLE) ELSE coalesce(sd.d, CAST(0.5 AS DOUBLE)) END AS sc, coalesce(gd.divergence, CAST(1 AS DOUBLE)) AS g FROM specs a JOIN specs b ON a.code < b.code AND NOT a.clade AND NOT b.clade LEFT JOIN sd ON sd.script_a = least(a.script, b.script) AND sd.script_b = greatest(a.script, b.script) LEFT JOIN gd ON gd.code_a = a.code AND gd.code_b = b.code) SELECT code_a, code_b, round(CASE WHEN sc = 0 THEN g ELSE CAST(0.6 AS DOUBLE) * sc + CAST(0.4 AS DOUBLE) * g END, 9) AS distance FROM od",
+    "positional_divergence": f"{with_tables(s.POSITIONAL, PHONES, WEIGHTS)}, {_PHONE_SQL}, fi AS (SELECT lang, grapheme, position, min(ipa) AS ipa FROM positional_rows GROUP BY ALL), la AS (SELECT DISTINCT lang FROM fi), pr AS (SELECT a.lang AS code_a, b.lang AS code_b FROM la a JOIN la b ON a.lang < b.lang), gr AS (SELECT code_a, code_b, grapheme, position FROM pr JOIN fi ON fi.lang = code_a UNION SELECT code_a, code_b, grapheme, position FROM pr JOIN fi ON fi.lang = code_b), sl AS (SELECT gr.*, x.ipa AS a, y.ipa AS b, CASE WHEN x.ipa IS NULL OR y.ipa IS NULL THEN 1 WHEN x.ipa = y.ipa THEN 0 ELSE coalesce(pp.d, 1) END AS d FROM gr LEFT JOIN fi x ON x.lang = code_a AND x.grapheme = gr.grapheme AND x.position = gr.position LEFT JOIN fi y ON y.lang = code_b AND y.grapheme = gr.grapheme AND y.position = gr.position LEFT JOIN pp ON pp.a = x.ipa AND pp.b = y.ipa), pe AS (SELECT code_a, code_b, grapheme, CASE WHEN count(a) = 0 OR count(b) = 0 THEN CAST(1 AS DOUBLE) ELSE avg(d) END AS d FROM sl GROUP BY ALL) SELECT code_a, code_b, round(least(CAST(1 AS DOUBLE), avg(d)), 9) AS divergence FROM pe GROUP BY ALL",
+    "full_distance": f"{_ALL.replace('WITH RECURSIVE ', 'WITH RECURSIVE ' + s.EDGES.sql() + ', ', 1)}, {_MEAN}, {_OVERLAP}, {_ANCESTRY}, {_SIMILAR} SELECT code_a, code_b, round(CAST(0.6 AS DOUBLE) * (CAST(0.6 AS DOUBLE) * feature_mean + CAST(0.4 AS DOUBLE) * (1 - overlap)) + CAST(0.4 AS DOUBLE) * (1 - similarity), 6) AS distance FROM im JOIN ov USING (code_a, code_b) JOIN si USING (code_a, code_b)",
+    "weighted_distance": f"{_ALL.replace('WITH RECURSIVE ', 'WITH RECURSIVE ' + s.EDGES.sql() + ', ', 1)}, {_MEAN}, {_OVERLAP}, {_ANCESTRY}, {_SIMILAR}, {_DIVERGENCE} SELECT im.code_a, im.code_b, round(CAST(0.25 AS DOUBLE) * feature_mean + CAST(0.2 AS DOUBLE) * coalesce(divergence, 1) + CAST(0.15 AS DOUBLE) * (1 - overlap) + CAST(0.4 AS DOUBLE) * (1 - similarity), 6) AS distance FROM im JOIN ov USING (code_a, code_b) JOIN si USING (code_a, code_b) LEFT JOIN gd USING (code_a, code_b)",
     "family_path": f"{with_tables(s.SPECS)}, {_STEPS_SQL} SELECT st.code, string_agg(k.name, ' > ' ORDER BY depth DESC) AS family FROM st JOIN specs k ON k.code = st.ancestor AND k.clade WHERE depth > 0 GROUP BY st.code",
     "nearest_data_ancestor": f"{with_tables(s.SPECS)}, {_STEPS_SQL} SELECT st.code, arg_min(ancestor, depth) AS ancestor FROM st JOIN specs k ON k.code = st.ancestor AND NOT k.clade WHERE depth > 0 GROUP BY st.code",
     "geo_distance": f"{with_tables(s.SPECS)}, g AS (SELECT a.code AS code_a, b.code AS code_b, 2 * CAST({RADIUS!r} AS DOUBLE) * asin(sqrt(pow(sin(radians(b.lat - a.lat) / 2), 2) + cos(radians(a.lat)) * cos(radians(b.lat)) * pow(sin(radians(b.lon - a.lon) / 2), 2))) AS km FROM specs a JOIN specs b ON a.code < b.code WHERE a.lat IS NOT NULL AND b.lat IS NOT NULL) SELECT code_a, code_b, round(km, 6) AS km, round(km / (pi() * CAST({RADIUS!r} AS DOUBLE)), 9) AS normalised FROM g",

@@ -16,6 +16,19 @@ def test_segment_distance():
     assert p.phonetic_distance("a", "p") == 1 and p.phonetic_distance(" ", "a") == 1
 
 
+@pytest.mark.parametrize("a, b, distance", [("r", "ɾ", 0), ("u", "y", 2 / 35), ("ə", "ɐ", 2 / 35), ("m", "ɱ", 16 / 47), ("k", "kʼ", 2 / 47), ("æ", "a", 2 / 35), ("ʔ", "q", 38 / 47), ("i", "ɨ", 2 / 35), ("s", "z", 2 / 47), ("ã", "a", 1 / 35), ("tʃ", "m̥", 40 / 47), ("g", "ɡ", 1), ("ʦ", "s", 1), ("ɝ", "ɜ˞", 0), ("a", "i", 6 / 35)])
+def test_distances_worked_out_by_hand(a, b, distance):
+    """Weights in 58ths: 35 are compared between vowels, 47, counted twice, between other phones."""
+    assert p.segment_distance(a, b) == pytest.approx(distance, abs=1e-12)
+    assert p.segment_distance(b, a) == pytest.approx(distance, abs=1e-12)
+
+
+def test_phone_table():
+    assert len(p.PHONES) == 118 and all(len(v) == 23 for v in p.PHONES.values())
+    assert sum(p.WEIGHTS[k] for k in p.VOWEL_FEATURES) == pytest.approx(35 / 58) and sum(p.WEIGHTS[k] for k in p.CONSONANT_FEATURES) == pytest.approx(47 / 58)
+    assert p.vector("tsʼ")[p.AT["constricted_glottis"]] and p.vector("ᵐb") is None
+
+
 def test_feature_vector():
     v = p.feature_vector("p")
     assert len(v) == 23 and v[7] == 0.5 and v[11] == 1
