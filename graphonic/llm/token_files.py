@@ -140,6 +140,11 @@ def write_files(docs: DataFrame, folder: str, tokenizer: str = "word_bpe_49k.jso
     """Write token files in ascending doc_id order; (part, n_docs, n_tokens, name) of each file."""
 
     wide = encoder(tokenizer, end).size > 1 << 16
+    spark = docs.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # The ranges are found from doc_id alone, so that texts are encoded once and by no pass that only looks for ranges.
+    cut = docs.select(F.percentile_approx("doc_id", [(k + 1) / parts for k in range(parts - 1)] or [1.0], 10_000).alias("cut")).first().cut
+    bounds = spark.sparkContext.broadcast(np.unique(np.array(cut or [], np.int64)))
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(tokenizer, end).encode
@@ -147,7 +152,8 @@ def write_files(docs: DataFrame, folder: str, tokenizer: str = "word_bpe_49k.jso
             for batch in slices(whole, "text"):
                 ids = encode(batch.column(1).to_pylist())
                 ids = ids if wide else [np.frombuffer(x, "<u4").astype("<u2").tobytes() for x in ids]
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary())], names=["doc_id", "ids"])
+                part = np.searchsorted(bounds.value, batch.column(0).fill_null(-(1 << 63)).to_numpy())
+                yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), batch.column(0), pa.array(ids, pa.binary())], names=["part", "doc_id", "ids"])
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, out, n = TaskContext.get().partitionId(), None, 0
@@ -159,9 +165,8 @@ def write_files(docs: DataFrame, folder: str, tokenizer: str = "word_bpe_49k.jso
         if out is not None:
             yield pa.RecordBatch.from_pydict({"part": [part], "n_docs": [n], "n_tokens": [out.close()], "name": [out.name]})
 
-    # Written, since the ranges are found by a pass of its own, which would encode once more.
-    ids = written(docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(encoded, "doc_id bigint, ids binary"), "ids")
-    ranged = ids.repartitionByRange(F.col("doc_id")).sortWithinPartitions("doc_id", "ids")
+    ids = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(encoded, "part int, doc_id bigint, ids binary")
+    ranged = ids.repartitionById(parts, F.col("part")).sortWithinPartitions("doc_id", "ids").select("doc_id", "ids")
     return written(ranged.mapInArrow(kernel, "part bigint, n_docs bigint, n_tokens bigint, name string"), "token-files")
 
 
