@@ -1,6 +1,14 @@
 """From raw documents to training sequences: the stages, in order.
 
 Each stage reads what its predecessor wrote, and writes Parquet for the next.
+
+Defined results: a null or empty text has no words, is not toxic by its words,
+is a near copy of other such texts only, holds no benchmark window and packs
+as its end id; null metadata and extra columns (none named graphonic_row) pass
+unread through all stages but the last; rows are judged one by one, also where
+they share a doc_id or have none; of rows alike, that of the smallest doc_id
+stays (null last), and of several such the first written; very long texts are
+read whole; an empty table gives an empty result.
 """
 
 from __future__ import annotations
