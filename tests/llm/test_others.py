@@ -1,7 +1,8 @@
 import json
 import random
+import re
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
@@ -418,47 +419,105 @@ def test_held_out_accuracy(spark):
 # Language model
 
 
-def test_lm_prefers_what_it_has_seen(spark):
+def lm(df, rounds):
+    """Everything that is learnt, and the scores."""
+    counts = lm_scoring.counted(df)
+    vocabulary = lm_scoring.Vocabulary.of(counts, known=30, own=12)
+    rows = lm_scoring.encoded(df, vocabulary)
+    network = lm_scoring.trained(rows, lm_scoring.started(rows, vocabulary), rounds)
+    return counts, vocabulary, network, lm_scoring.scored(rows, counts, vocabulary, network).collect()
+
+
+def test_lm_prefers_words_in_their_places(spark, monkeypatch):
+    monkeypatch.setattr(lm_scoring, "BATCH", 256)
     rng = random.Random(8)
-    texts = [" ".join(["the", rng.choice("abcd"), "sat", "on", "a", "mat"] * 30) for _ in range(60)]
-    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(100, None), (101, ""), (102, "zzz"), (0, texts[0])], "doc_id long, text string")
-    docs_ = df.select("doc_id", "text")
-    counts = lm_scoring.counted(docs_)
-    assert counts.sum() == 61 * 180 + 1
-    vocabulary = lm_scoring.Vocabulary.of(counts)
-    network = lm_scoring.trained(docs_, vocabulary, counts, 6)
-    w = texts[0].split()
-    rng.shuffle(w)
-    test = spark.createDataFrame([(0, texts[0]), (1, " ".join(w)), (2, None)], "doc_id long, text string")
-    got = {r.doc_id: r for r in lm_scoring.scored(test, vocabulary, network).collect()}
-    assert got[0].mean_log_likelihood > got[1].mean_log_likelihood
-    assert got[2].n_words == 0 and got[2].log_likelihood == 0 and got[2].mean_log_likelihood is None
-    assert lm_scoring.score(docs_).count() == 64 and lm_scoring.score(empty(spark)).count() == 0
-
-
-def test_scores_equal_the_pseudo_likelihood_word_by_word(spark):
-    """The sum over all words of the log-probability given both sides, computed one word at a time."""
-    texts = ["the cat sat on the mat", "The cat, the cat!", "a", None, "", "x " * 3000, "éß cat mat"]
+    texts = [" ".join(["the", rng.choice("abcd"), "sat", "on", "some", "mat"] * 30) for _ in range(60)]
+    shuffled = texts[0].split()
+    rng.shuffle(shuffled)
+    df = spark.createDataFrame([*enumerate(texts), (100, None), (101, " ".join(shuffled)), (102, "zzz"), (0, texts[0])], "doc_id long, text string")
+    rows = lm_scoring.score(df, 3).collect()
+    got = {r.doc_id: r for r in rows}
+    assert len(rows) == 64 and lm_scoring.score(empty(spark)).count() == 0
+    assert got[0].mean_log_likelihood > got[101].mean_log_likelihood + 1
+    assert got[0].mean_log_likelihood > -1 > got[102].mean_log_likelihood
+    assert (got[102].n_once, got[0].n_once) == (1, 0)
+    assert got[100].n_words == 0 and got[100].log_likelihood == 0 and got[100].mean_log_likelihood is None
+
+
+def test_scores_equal_the_pseudo_likelihood_word_by_word(spark, monkeypatch):
+    """The sum over all words of the log-probability given both sides, computed one word at a time from plain counts."""
+    monkeypatch.setattr(lm_scoring, "BATCH", 64)
+    rng = random.Random(4)
+    texts = ["the cat sat on the mat", "The cat, the cat!", "a", None, "", "x " * 3000, "éß cat mat", "once"]
+    texts += [" ".join(f"w{int(rng.paretovariate(0.7)) % 97}" for _ in range(50)) for _ in range(8)]
     df = spark.createDataFrame([(i, t, "clash", 1.0) for i, t in enumerate(texts)] + [(0, texts[0], "clash", 1.0)], "doc_id long, text string, n_words string, mean_log_likelihood double")
-    counts = lm_scoring.counted(df)
-    vocabulary = lm_scoring.Vocabulary.of(counts)
-    network = lm_scoring.trained(df, vocabulary, counts, 2)
-    rows = lm_scoring.scored(df, vocabulary, network).collect()
-    assert len(rows) == 8
+    counts, vocabulary, network, rows = lm(df, 2)
+    assert len(rows) == len(texts) + 1
+    assert 0 < len(vocabulary.word) <= 30 and counts.count() > len(vocabulary.word) > 12
+    spelled = {i: re.findall("[0-9a-z\x80-\U0010ffff]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or "")) for i, t in enumerate(texts)}
+    count = Counter(w for i in [*spelled, 0] for w in spelled[i])
+    hashed = {w: tuple(int(x[0]) for x in lm_scoring.words_of(pa.array([w]))[:2]) for w in count}
+    best = sorted(count, key=lambda w: (-count[w], hashed[w][0]))[:12]
+    leaf = {w: best.index(w) if w in best else lm_scoring.OWN + hashed[w][1] for w in count}
+    of = Counter()
+    for w, n in count.items():
+        of[leaf[w]] += n
+    vectors, places, first, first_bias, second, second_bias = (p.astype(float) for p in network.parts)
     for r in rows:
-        words, _ = lm_scoring.words_of(pa.array([texts[r.doc_id]], pa.string()))
-        kinds = [int(vocabulary.kind[w]) for w in words]
+        words = spelled[r.doc_id]
         total = 0.0
-        for k, w in enumerate(words.tolist()):
-            hidden = np.zeros(lm_scoring.HIDDEN)
+        for k, w in enumerate(words):
+            h = np.zeros(lm_scoring.HIDDEN)
             for place, p in enumerate(lm_scoring.PLACES):
-                hidden += network.first[place][kinds[k + p] if 0 <= k + p < len(kinds) else lm_scoring.PAD]
-            z = np.tanh(hidden) @ network.last + network.bias
-            total += z[kinds[k]] - np.log(np.exp(z).sum()) + vocabulary.share[w]
-        assert r.n_words == len(words) and abs(r.log_likelihood - total) < 1e-3 * max(1, len(words))
-
-
-def test_lm_probabilities_are_normalised():
-    network = lm_scoring.Network(np.zeros(lm_scoring.CLASSES))
-    _, z = network.forward([np.array([0, 5, lm_scoring.PAD])] * 4)
-    assert np.allclose(np.exp(z).sum(axis=1), 1, atol=1e-4)
+                h += vectors[leaf[words[k + p]] if 0 <= k + p < len(words) else lm_scoring.PAD] * places[place]
+            group, member = divmod(int(network.slot[leaf[w]]), lm_scoring.SIZE)
+            for z, at in ((np.tanh(h) @ first + first_bias, group), (np.tanh(h) @ second[group] + second_bias[group], member)):
+                total += z[at] - np.log(np.exp(z).sum())
+            total += np.log(count[w] / of[leaf[w]])
+        assert r.n_words == len(words) and r.n_once == sum(count[w] == 1 for w in words)
+        assert abs(r.log_likelihood - total) < 1e-4 * max(1, len(words))
+
+
+def test_lm_does_not_depend_on_how_rows_are_dealt(spark, monkeypatch):
+    monkeypatch.setattr(lm_scoring, "BATCH", 128)
+    monkeypatch.setattr(lm_scoring, "SHARD", 500)
+    df = docs(spark).select("doc_id", "text")
+    found = []
+    for parts in (1, 5):
+        _, _, _, rows = lm(df.repartition(parts), 1)
+        found.append(sorted((r.doc_id, r.n_words, r.n_once, round(r.log_likelihood, 3)) for r in rows))
+    assert found[0] == found[1]
+
+
+def test_lm_probabilities_sum_to_one():
+    rng = np.random.default_rng(0)
+    network = lm_scoring.Network(rng.permutation(lm_scoring.LEAVES).astype(np.int16), rng.integers(0, 9, lm_scoring.LEAVES))
+    around = np.repeat(np.array([[0], [5], [lm_scoring.PAD], [4000]], np.int16), lm_scoring.LEAVES, axis=1)
+    logs = network.logs(around, np.arange(lm_scoring.LEAVES, dtype=np.int16))
+    assert abs(np.exp(logs).sum() - 1) < 1e-4
+
+
+def test_lm_gradients_equal_differences():
+    rng = np.random.default_rng(1)
+    network = lm_scoring.Network(np.arange(lm_scoring.LEAVES, dtype=np.int16), np.ones(lm_scoring.LEAVES))
+    network.parts = [p.astype(np.float64) for p in network.parts]
+    leaf = (rng.pareto(1, 300) * 5 % lm_scoring.LEAVES).astype(np.int16)
+    around = lm_scoring.contexts(leaf, np.array([0, 100, 100, 300]))
+    for p, g in zip(network.parts, network.gradients(around, leaf)):
+        at = np.unravel_index(np.argmax(np.abs(g)), p.shape)
+        value, means = p[at], []
+        for x in (value + 1e-4, value - 1e-4):
+            p[at] = x
+            means.append(-network.logs(around, leaf).mean())
+        p[at] = value
+        assert abs((means[0] - means[1]) / 2e-4 - g[at]) < 1e-6 + 1e-4 * abs(g[at])
+
+
+def test_groups_hold_leaves_of_like_neighbours():
+    beside = np.zeros((lm_scoring.LEAVES, 2 * lm_scoring.MARKS))
+    kind = np.arange(lm_scoring.LEAVES) * 7 % lm_scoring.GROUPS
+    beside[np.arange(lm_scoring.LEAVES), kind] = 10
+    group = lm_scoring.grouped(beside) // lm_scoring.SIZE
+    assert (np.bincount(group) == lm_scoring.SIZE).all()
+    alike = np.mean([(group[kind == k] == np.bincount(group[kind == k]).argmax()).mean() for k in range(lm_scoring.GROUPS)])
+    assert alike > 0.5  # by chance 1 of 64; halving at the middle splits some kinds
