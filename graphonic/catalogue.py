@@ -6,4 +6,4 @@ from .operators import distances, language_models, prosody, syllables, words
 from .plans import transcribe
 
 QUERIES: dict = {**transcribe.QUERIES, **words.QUERIES, **distances.QUERIES, **language_models.QUERIES, **prosody.QUERIES, **syllables.QUERIES}
-ORACLE_SQL: dict = {**words.ORACLE_SQL, **distances.ORACLE_SQL, **language_models.ORACLE_SQL, **prosody.ORACLE_SQL, **syllables.ORACLE_SQL}
+ORACLE_SQL: dict = {**transcribe.ORACLE_SQL, **words.ORACLE_SQL, **distances.ORACLE_SQL, **language_models.ORACLE_SQL, **prosody.ORACLE_SQL, **syllables.ORACLE_SQL}

@@ -182,11 +182,25 @@ def script_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _scripts(spark).select("script_a", "script_b", F.round("d", 9).alias("distance"))
 
 
-def _ancestry(spark: SparkSession, max_depth: int = 10) -> DataFrame:
-    """code, ancestor, weight: the strongest product of weights over all paths of at most max_depth further steps."""
+#: Years over which the weight of a step falls to 1/e.
+DECAY = 1000.0
+
+
+def _ancestry(spark: SparkSession, max_depth: int = 10, decayed: bool = False) -> DataFrame:
+    """code, ancestor, weight: the strongest product of weights over all paths of at most max_depth further steps.
+
+    Decayed, a step loses weight with the years from the ancestor's end (or
+    start, where that is open) to the start of the spec below it.
+    """
+    edges = s.EDGES.df(spark).select("code", "ancestor", "weight")
+    if decayed:
+        spans = s.SPECS.df(spark).select("code", "start_year", F.coalesce("end_year", "start_year").alias("end"))
+        edges = edges.join(F.broadcast(spans.select("code", "start_year")), "code", "left").join(F.broadcast(spans.select(F.col("code").alias("ancestor"), "end")), "ancestor", "left")
+        gap = F.greatest(F.coalesce(F.col("start_year") - F.col("end"), F.lit(0)), F.lit(0))
+        edges = edges.select("code", "ancestor", (F.col("weight") * F.exp(-gap / DECAY)).alias("weight"))
     return spark.sql(
         "WITH RECURSIVE r AS (SELECT code, ancestor, weight, 0 AS depth FROM {edges} UNION ALL SELECT r.code, e.ancestor, r.weight * e.weight, depth + 1 FROM r JOIN {edges} e ON e.code = r.ancestor WHERE depth < {most}) SELECT code, ancestor, max(weight) AS weight FROM r GROUP BY code, ancestor",
-        edges=s.EDGES.df(spark).select("code", "ancestor", "weight"), most=max_depth,
+        edges=edges, most=max_depth,
     )
 
 
@@ -194,6 +208,10 @@ def ancestry_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _ancestry(spark).select("code", "ancestor", F.round("weight", 9).alias("weight"))
 
 
+def ancestry_weights_decayed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _ancestry(spark, decayed=True).select("code", "ancestor", F.round("weight", 9).alias("weight"))
+
+
 def _similarity(spark: SparkSession) -> DataFrame:
     """code_a, code_b, similarity of pairs of listed specs: the best product over shared ancestors, or a direct path if that is stronger."""
     w = _ancestry(spark)
@@ -241,6 +259,36 @@ def family_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("code", F.array_join(F.transform("xs", lambda x: x["name"]), " > ").alias("family"))
 
 
+#: What a user may ask the list of languages for.
+FAMILY_KEYS = Inline("family_keys", "key string", (("root",), (" Branch ",), ("ROOT > BRANCH",), ("old",), ("nowhere",)))
+
+
+def family_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """key, code: the specs whose whole family, or any one step of it, is the key, whatever its case."""
+    rows = s.SPECS.df(spark).where("not clade").select("code").join(family_path(spark, sf_dir), "code")
+    asked = FAMILY_KEYS.df(spark).withColumn("asked", F.lower(F.trim("key")))
+    steps = F.transform(F.split(F.lower("family"), ">"), lambda x: F.trim(x))
+    names = rows.select("code", F.explode(F.array_distinct(F.concat(F.array(F.lower("family")), steps))).alias("asked"))
+    return names.join(F.broadcast(asked), "asked").select("key", "code")
+
+
+#: Replacements of sandhi rules, with references to what they matched.
+TRANSFORMS = Inline("transforms", "rule string, transform string", (("liaison", "\\1‿z"), ("named", "\\g<left>‿\\g<2>"), ("far", "n\\12t"), ("plain", "z"), ("empty", ""), ("slash", "a\\.b\\1"), ("none", None)))
+
+
+def sandhi_literals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The symbols that a rule adds: its replacement without references and backslashes."""
+    bare = F.regexp_replace(F.coalesce("transform", F.lit("")), r"\\g<[^>]*>|\\[0-9]+", "")
+    return TRANSFORMS.df(spark).select("rule", F.translate(bare, "\\", "").alias("literals"))
+
+
+def phoneme_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """code, phoneme, place, value: the feature vector of each reading that is a known phone; unknown features are 0.5."""
+    known = F.broadcast(PHONES.df(spark).where("known").select(F.col("phone").alias("phoneme"), "features"))
+    rows = resolved_graphemes(spark).select("code", F.col("ipa").alias("phoneme")).distinct().join(known, "phoneme")
+    return rows.select("code", "phoneme", F.posexplode("features").alias("place", "value"))
+
+
 def nearest_data_ancestor(spark: SparkSession, sf_dir: str) -> DataFrame:
     up = _ancestor_steps(spark).where("depth > 0").join(s.SPECS.df(spark).where("not clade").select(F.col("code").alias("ancestor")), "ancestor")
     return up.groupBy("code").agg(F.min_by("ancestor", "depth").alias("ancestor"))
@@ -344,7 +392,7 @@ def weighted_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.select("code_a", "code_b", F.round(total, 6).alias("distance"))
 
 
-QUERIES = {f.__name__: f for f in (ancestry_similarity, weighted_distance, orthographic_distance, positional_divergence, full_distance, spec_graphemes_resolved, missing_parents, emission_inventory, phoneme_jaccard, phoneme_coverage, segment_distance_matrix, inventory_mean_min, grapheme_divergence, spelling_divergence, allophone_overlap, tone_distance, script_distance, ancestry_weights, family_path, nearest_data_ancestor, geo_distance, temporal_distance, dead_rules, families, tag_alias_chain, nearest_tag, weight_stress, slot_costs, phonological_distance)}
+QUERIES = {f.__name__: f for f in (family_filter, sandhi_literals, phoneme_embeddings, ancestry_weights_decayed, ancestry_similarity, weighted_distance, orthographic_distance, positional_divergence, full_distance, spec_graphemes_resolved, missing_parents, emission_inventory, phoneme_jaccard, phoneme_coverage, segment_distance_matrix, inventory_mean_min, grapheme_divergence, spelling_divergence, allophone_overlap, tone_distance, script_distance, ancestry_weights, family_path, nearest_data_ancestor, geo_distance, temporal_distance, dead_rules, families, tag_alias_chain, nearest_tag, weight_stress, slot_costs, phonological_distance)}
 
 _BASE = with_tables(s.SPECS, s.SPEC_GRAPHEMES, s.SPEC_ALLOPHONES, s.SPEC_RULES, s.SPEC_TONES, PHONES, WEIGHTS) + ", " + _RESOLVED_SQL
 _ALL = f"{_BASE}, {_PHONE_SQL}"
@@ -368,6 +416,10 @@ ORACLE_SQL = {
     "tone_distance": f"{with_tables(s.SPECS, s.SPEC_TONES)}, li AS (SELECT code FROM specs WHERE NOT clade), k AS (SELECT a.code AS code_a, b.code AS code_b, (SELECT count(*) FROM spec_tones x JOIN spec_tones y USING (tone) WHERE x.code = a.code AND y.code = b.code) AS i, (SELECT count(*) FROM spec_tones x WHERE x.code = a.code OR x.code = b.code) AS t FROM li a JOIN li b ON a.code < b.code) SELECT code_a, code_b, round(CASE WHEN t = 0 THEN CAST(0 AS DOUBLE) ELSE 1 - i / CAST(t - i AS DOUBLE) END, 9) AS distance FROM k",
     "script_distance": f"{with_tables(s.SCRIPTS, TYPES)} SELECT script_a, script_b, round(d, 9) AS distance FROM ({_SCRIPT})",
     "ancestry_weights": f"{with_tables(s.EDGES)}, {_ANCESTRY} SELECT code, ancestor, round(weight, 9) AS weight FROM aw",
+    "ancestry_weights_decayed": f"{with_tables(s.EDGES, s.SPECS)}, ed AS (SELECT e.code, e.ancestor, e.weight * exp(-greatest(coalesce(d.start_year - coalesce(k.end_year, k.start_year), 0), 0) / CAST({DECAY!r} AS DOUBLE)) AS weight FROM edges e LEFT JOIN specs d ON d.code = e.code LEFT JOIN specs k ON k.code = e.ancestor), {_ANCESTRY.replace('edges', 'ed')} SELECT code, ancestor, round(weight, 9) AS weight FROM aw",
+    "family_filter": f"{with_tables(s.SPECS, FAMILY_KEYS)}, {_STEPS_SQL}, f AS (SELECT st.code, string_agg(k.name, ' > ' ORDER BY depth DESC) AS family FROM st JOIN specs k ON k.code = st.ancestor AND k.clade WHERE depth > 0 GROUP BY st.code) SELECT key, code FROM f JOIN specs USING (code) JOIN family_keys ON lower(family) = lower(trim(key)) OR EXISTS (SELECT 1 FROM (SELECT unnest(string_split(family, '>')) AS step) WHERE lower(trim(step)) = lower(trim(key))) WHERE NOT clade",
+    "sandhi_literals": f"{with_tables(TRANSFORMS)} SELECT rule, replace(regexp_replace(coalesce(transform, ''), '\\\\g<[^>]*>|\\\\[0-9]+', '', 'g'), '\\', '') AS literals FROM transforms",
+    "phoneme_embeddings": f"{_BASE} SELECT code, ipa AS phoneme, CAST(place AS INTEGER) AS place, features[place + 1] AS value FROM inv JOIN phones ON phone = ipa AND known JOIN (SELECT unnest(range(0, {len(p.FEATURES)})) AS place) ON true",
     "ancestry_similarity": f"{with_tables(s.EDGES, s.SPECS)}, {_ANCESTRY}, {_SIMILAR} SELECT code_a, code_b, round(similarity, 9) AS similarity FROM si",
     "orthographic_distance": f"{with_tables(s.SPECS, s.SPEC_GRAPHEMES, PHONES, WEIGHTS, s.SCRIPTS, TYPES)}, {_RESOLVED_SQL}, {_PHONE_SQL}, {_DIVERGENCE}, sd AS ({_SCRIPT}), od AS (SELECT a.code AS code_a, b.code AS code_b, CASE WHEN a.script = b.script THEN CAST(0 AS DOUBLE) ELSE coalesce(sd.d, CAST(0.5 AS DOUBLE)) END AS sc, coalesce(gd.divergence, CAST(1 AS DOUBLE)) AS g FROM specs a JOIN specs b ON a.code < b.code AND NOT a.clade AND NOT b.clade LEFT JOIN sd ON sd.script_a = least(a.script, b.script) AND sd.script_b = greatest(a.script, b.script) LEFT JOIN gd ON gd.code_a = a.code AND gd.code_b = b.code) SELECT code_a, code_b, round(CASE WHEN sc = 0 THEN g ELSE CAST(0.6 AS DOUBLE) * sc + CAST(0.4 AS DOUBLE) * g END, 9) AS distance FROM od",
     "positional_divergence": f"{with_tables(s.POSITIONAL, PHONES, WEIGHTS)}, {_PHONE_SQL}, fi AS (SELECT lang, grapheme, position, min(ipa) AS ipa FROM positional_rows GROUP BY ALL), la AS (SELECT DISTINCT lang FROM fi), pr AS (SELECT a.lang AS code_a, b.lang AS code_b FROM la a JOIN la b ON a.lang < b.lang), gr AS (SELECT code_a, code_b, grapheme, position FROM pr JOIN fi ON fi.lang = code_a UNION SELECT code_a, code_b, grapheme, position FROM pr JOIN fi ON fi.lang = code_b), sl AS (SELECT gr.*, x.ipa AS a, y.ipa AS b, CASE WHEN x.ipa IS NULL OR y.ipa IS NULL THEN 1 WHEN x.ipa = y.ipa THEN 0 ELSE coalesce(pp.d, 1) END AS d FROM gr LEFT JOIN fi x ON x.lang = code_a AND x.grapheme = gr.grapheme AND x.position = gr.position LEFT JOIN fi y ON y.lang = code_b AND y.grapheme = gr.grapheme AND y.position = gr.position LEFT JOIN pp ON pp.a = x.ipa AND pp.b = y.ipa), pe AS (SELECT code_a, code_b, grapheme, CASE WHEN count(a) = 0 OR count(b) = 0 THEN CAST(1 AS DOUBLE) ELSE avg(d) END AS d FROM sl GROUP BY ALL) SELECT code_a, code_b, round(least(CAST(1 AS DOUBLE), avg(d)), 9) AS divergence FROM pe GROUP BY ALL",

@@ -136,3 +136,6 @@ def markup_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (transcribe_documents, word_candidates, sandhi_fold, dialect_transform, markup_chunks)}
+ORACLE_SQL = {
+    "markup_chunks": "WITH m AS (SELECT conv_id, turn, text, regexp_extract(text, '^\\p{L}+') AS w FROM conversations WHERE text <> '') SELECT conv_id, turn, CAST(0 AS INTEGER) AS pos, CASE WHEN w = '' THEN text ELSE w END AS chunk, CASE WHEN w <> '' THEN 'ə' END AS forced, CAST(NULL AS VARCHAR) AS error FROM m UNION ALL SELECT conv_id, turn, CAST(1 AS INTEGER), substr(text, length(w) + 1), NULL, NULL FROM m WHERE w <> '' AND length(text) > length(w)",
+}
