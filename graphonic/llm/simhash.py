@@ -230,7 +230,11 @@ def fingerprint_table(docs: DataFrame, n: int = SHINGLE) -> DataFrame:
 
 
 def links(distinct: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
-    """Pairs (a, b), a < b as signed longs, of distinct fingerprints that differ in 1 to threshold bits."""
+    """Pairs (a, b), a < b as signed longs, of distinct fingerprints that differ in 1 to threshold bits.
+
+    The planner sees as many replicas as fingerprints, as a kernel's rows are
+    not known to it, and would broadcast them: the join is told to shuffle.
+    """
 
     def at_home(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -248,7 +252,7 @@ def links(distinct: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     home = distinct.select("fp").mapInArrow(at_home, "anchor bigint, a bigint")
     probe = distinct.select("fp").mapInArrow(replicated, "anchor bigint, b bigint")
     close = (F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= threshold)
-    return home.alias("h").join(probe.alias("p"), (F.col("h.anchor") == F.col("p.anchor")) & close).select("a", "b")
+    return home.alias("h").hint("merge").join(probe.alias("p"), (F.col("h.anchor") == F.col("p.anchor")) & close).select("a", "b")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -282,7 +286,9 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, threshold: int = TH
     own = written(fingerprint_table(docs, shingle), "fingerprints")
     distinct = written(own.groupBy("fp").agg(F.min("doc_id").alias("rep")), "distinct")
     pairs = links(distinct, threshold)
-    named = pairs.join(distinct.select(F.col("fp").alias("a"), F.col("rep").alias("ra")), "a").join(distinct.select(F.col("fp").alias("b"), F.col("rep").alias("rb")), "b")
+    # A row for each fingerprint is not broadcast either: as a hash table it is many times its file.
+    rep = lambda fp, name: distinct.select(F.col("fp").alias(fp), F.col("rep").alias(name)).hint("merge")
+    named = pairs.join(rep("a", "ra"), "a").join(rep("b", "rb"), "b")
     found = components(named.select(F.col("ra").alias("a"), F.col("rb").alias("b")))
     named = distinct.join(found, distinct.rep == found.node, "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
     return own.join(named, "fp", "left")

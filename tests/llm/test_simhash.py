@@ -60,6 +60,19 @@ def test_long_chain_of_links(spark):
     assert {r.component for r in s.components(edges).collect()} == {100}
 
 
+def test_replicas_are_never_broadcast(spark):
+    """At the threshold that Spark has by itself, where the planner takes the replicas for a small table."""
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "10485760b")
+    try:
+        distinct = spark.range(1000).selectExpr("xxhash64(id) as fp", "id as rep").unionAll(spark.createDataFrame([(5, 2000), (6, 2001)], "fp long, rep long"))
+        found = s.links(distinct)
+        assert (5, 6) in {tuple(r) for r in found.collect()}
+        assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
 def test_covering_finds_every_link():
     rng = np.random.default_rng(3)
     x = rng.integers(0, 2**63, 3000, dtype=np.uint64)
