@@ -163,6 +163,18 @@ def units_of(files: DataFrame, anchors: list[str]) -> DataFrame:
     return found.select("id", "total", "x.unit", F.split("x.line", " ").alias("words")).withColumn("n", F.size("words"))
 
 
+def sorted_units(units: DataFrame) -> DataFrame:
+    """Units with their words in order, and starts: where in them each different word begins."""
+    ordered = units.withColumn("words", F.sort_array("words"))
+    return ordered.withColumn("starts", F.filter(F.sequence(F.lit(0), F.size("words") - 1), lambda k: (k == 0) | (F.get("words", k) != F.get("words", k - 1))))
+
+
+def unit_terms(units: DataFrame) -> DataFrame:
+    """id, total, unit, n, term, tf of sorted units, counted inside each row: nothing is shuffled for it."""
+    runs = F.transform("starts", lambda p, k: F.struct(F.get("words", p).alias("term"), (F.coalesce(F.get("starts", k + 1), F.size("words")) - p).alias("tf")))
+    return units.select("id", "total", "unit", "n", F.inline(runs))
+
+
 def own_licenses(files: DataFrame, threshold: float = THRESHOLD, share: float = FILE_SHARE) -> DataFrame:
     """id, license, score, is_file of the files with a match; ``files`` has id and text.
 
@@ -172,9 +184,8 @@ def own_licenses(files: DataFrame, threshold: float = THRESHOLD, share: float =
     often = written(frequencies(files), "frequencies")
     texts = files.count()
     known = Templates({r.term: r.texts for r in often.where(F.col("term").isin(Templates.terms())).collect()}, texts, threshold=threshold)
-    units = written(units_of(files, known.anchors), "units")
-    term = units.select("id", "total", "unit", "n", F.explode("words").alias("term")).groupBy("id", "total", "unit", "n", "term").agg(F.count("*").alias("tf"))
-    weighed = term.join(often, "term").withColumn("w", F.col("tf") * F.log(1 + F.lit(float(texts)) / F.col("texts")))
+    units = written(sorted_units(units_of(files, known.anchors)), "units")
+    weighed = unit_terms(units).join(often, "term").withColumn("w", F.col("tf") * F.log(1 + F.lit(float(texts)) / F.col("texts")))
     weights = spark.createDataFrame([(k, name, w, x) for k, (name, by) in enumerate(zip(known.names, known.weights)) for w, x in by.items()], "template int, license string, term string, x double")
     # The unit's norm and its products with all templates in one aggregation: a row without a template adds to the norm.
     products = weighed.join(F.broadcast(weights.groupBy("term").agg(F.collect_list(F.struct("template", "license", "x")).alias("in_templates"))), "term", "left")

@@ -197,6 +197,14 @@ software and other kinds of works.
 }
 
 
+def test_terms_of_units_are_counted_without_a_shuffle(spark):
+    words = [["b", "a", "b"], ["x"], ["c"] * 5, ["z", "a", "m", "a", "z", "z"]]
+    units = spark.createDataFrame([(k, len(w), 0, len(w), w) for k, w in enumerate(words)], "id long, total int, unit long, n int, words array<string>")
+    found = licenses.unit_terms(licenses.sorted_units(units))
+    assert sorted((r.id, r.term, r.tf) for r in found.collect()) == sorted((k, t, w.count(t)) for k, w in enumerate(words) for t in set(w))
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+
+
 def test_wrapped_licence_files_are_found_and_inherited(spark):
     bsd = "Copyright (c) 2020, Some One\nAll rights reserved.\n\n" + "\n\n".join("\n".join(x[k : k + 70] for k in range(0, len(x), 70)) for x in dict(licenses.TEXTS)["BSD-3-Clause"].replace("-", " ").split("\n"))
     kinds = {**WRAPPED, "BSD-3-Clause": bsd, "ISC": "Copyright 2021 Some One\n\n" + dict(licenses.TEXTS)["ISC"]}
