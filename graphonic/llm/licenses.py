@@ -8,7 +8,10 @@ are ruled out before any vector is built, and exactly: for each template the
 terms of greatest weight are its anchors, as many as needed for the rest of
 the template to have a norm below threshold, so a unit without an anchor
 cannot reach the threshold (Cauchy-Schwarz).  What is left is exploded into
-terms, joined with their weights and summed.
+terms and summed in the task that reads it, with the broadcast weights of the
+templates' and the most frequent terms; all other terms weigh at least as much
+as the last of these, so most units fall out by a bound, and exactly.  Only the
+terms of the rest are joined with their weights by a shuffle.
 
 A file is a licence file of its directory if lines, paragraphs or one unit
 that match hold at least half of its words, or if it begins with the title of
@@ -17,7 +20,7 @@ ancestor directory that has a licence file: its directory is exploded into its
 ancestors (as many rows as the path is deep) and joined by path.
 
 Everything is DataFrame expressions; what comes to the driver and is broadcast
-are the template terms, whose number is fixed.
+are the template terms and the most frequent terms, whose numbers are fixed.
 
 Defined results: a null or empty text has no license of its own; a null path
 has no ancestors; very long texts are read whole; several best templates: the
@@ -40,6 +43,10 @@ from .common import table, written
 THRESHOLD = 0.7
 FILE_SHARE = 0.5
 RUN = 3
+#: So many of the most frequent terms have their weights broadcast beside those of the templates; a bound, nothing is lost by it.
+FREQUENT = 4000
+#: Among the numbers of templates: squares of the broadcast weights, and of the least weights of the other terms.
+KNOWN, REST = -1, -2
 
 #: License statements, whole short licenses and titles of long ones (fixed values, from the licenses' public texts).
 STATEMENTS: tuple[tuple[str, str], ...] = (
@@ -113,9 +120,11 @@ class Templates:
     def __init__(self, often: dict[str, int], texts: int, templates: tuple[tuple[str, str], ...] = TEMPLATES, threshold: float = THRESHOLD):
         self.names = [name for name, _ in templates]
         self.weights: list[dict[str, float]] = []
-        anchors: set[str] = set()
-        for _, t in templates:
-            raw = {w: k * math.log(1 + texts / often.get(w, 1)) for w, k in sorted(Counter(_terms(t)).items())}
+        self.idf = {w: math.log(1 + texts / often.get(w, 1)) for w in self.terms(templates)}
+        #: Of each anchor the templates that have it as one.
+        self.by_anchor: dict[str, list[int]] = {}
+        for template, (_, t) in enumerate(templates):
+            raw = {w: k * self.idf[w] for w, k in sorted(Counter(_terms(t)).items())}
             norm = math.sqrt(sum(x * x for x in raw.values())) or 1.0
             unit = {w: x / norm for w, x in raw.items()}
             self.weights.append(unit)
@@ -123,9 +132,9 @@ class Templates:
             for w, x in sorted(unit.items(), key=lambda p: (-p[1], p[0])):
                 if rest < (threshold * 0.999) ** 2:
                     break
-                anchors.add(w)
+                self.by_anchor.setdefault(w, []).append(template)
                 rest -= x * x
-        self.anchors = sorted(anchors)
+        self.anchors = sorted(self.by_anchor)
 
     @staticmethod
     def terms(templates: tuple[tuple[str, str], ...] = TEMPLATES) -> list[str]:
@@ -170,12 +179,43 @@ def sorted_units(units: DataFrame) -> DataFrame:
 
 
 def unit_terms(units: DataFrame) -> DataFrame:
-    """id, total, unit, n, term, tf of sorted units, counted inside each row: nothing is shuffled for it."""
+    """term and tf of sorted units beside their other columns, counted inside each row: nothing is shuffled for it."""
     runs = F.transform("starts", lambda p, k: F.struct(F.get("words", p).alias("term"), (F.coalesce(F.get("starts", k + 1), F.size("words")) - p).alias("tf")))
-    return units.select("id", "total", "unit", "n", F.inline(runs))
+    return units.select(*(c for c in units.columns if c not in ("words", "starts")), F.inline(runs))
 
 
-def own_licenses(files: DataFrame, threshold: float = THRESHOLD, share: float = FILE_SHARE) -> DataFrame:
+def near_units(units: DataFrame, often: DataFrame, known: Templates, texts: int, threshold: float = THRESHOLD, frequent: int = FREQUENT) -> tuple[DataFrame, DataFrame]:
+    """Units that may reach the threshold: id, total, unit, n, known, rest, dots (template, dot); and the broadcast weights.
+
+    known is the square of the norm over terms whose weights are broadcast: those of templates and the most frequent ones.
+    Any other term is at most as frequent as the last of these, which bounds the rest of the square from below, and so the cosine from above.
+    """
+    most = often.orderBy(F.desc("texts"), "term").limit(frequent).collect()
+    least = math.log(1 + texts / most[-1].texts) if most else math.log(2)
+    by_term: dict[str, list[tuple[int, float]]] = {}
+    for k, by in enumerate(known.weights):
+        for w, x in by.items():
+            by_term.setdefault(w, []).append((k, x))
+    idf = {r.term: math.log(1 + texts / r.texts) for r in most} | known.idf
+    weights = units.sparkSession.createDataFrame([(w, x, by_term.get(w, [])) for w, x in idf.items()], "term string, idf double, in_templates array<struct<template:int,x:double>>")
+    # A template without an anchor in the unit cannot reach the threshold.
+    anchors = F.create_map(*(c for w, ks in known.by_anchor.items() for c in (F.lit(w), F.array(*map(F.lit, ks)))))
+    templates = F.array_distinct(F.flatten(F.transform(F.array_intersect("words", F.array(*map(F.lit, known.anchors))), lambda w: F.element_at(anchors, w))))
+    # Summed in the task that reads the unit: what is shuffled is a row for each unit and template, however many terms they share.
+    weighed = unit_terms(sorted_units(units.withColumn("templates", templates))).join(F.broadcast(weights), "term", "left").withColumn("w", F.col("tf") * F.coalesce("idf", F.lit(least)))
+    own = F.array(F.struct(F.when(F.col("idf").isNull(), REST).otherwise(KNOWN).alias("template"), F.col("w").alias("x")))
+    shared = F.filter(F.coalesce("in_templates", F.array().cast("array<struct<template:int,x:double>>")), lambda t: F.array_contains("templates", t["template"]))
+    rows = weighed.select("id", "total", "unit", "n", "w", F.explode(F.concat(own, shared)).alias("t"))
+    sums = rows.groupBy("id", "total", "unit", "n", "t.template").agg(F.sum(F.col("w") * F.col("t.x")).alias("dot"))
+    of = lambda k: F.coalesce(F.sum(F.when(F.col("template") == k, F.col("dot"))), F.lit(0.0))
+    dots = F.collect_list(F.when(F.col("template") >= 0, F.struct("template", "dot")))
+    found = sums.groupBy("id", "total", "unit", "n").agg(of(KNOWN).alias("known"), of(REST).alias("rest"), dots.alias("dots"))
+    # The margin is wider than what rounding scores to six digits adds.
+    found = found.withColumn("dots", F.filter("dots", lambda d: d["dot"] >= (threshold - 1e-5) * F.sqrt(F.col("known") + F.col("rest"))))
+    return found.where(F.size("dots") > 0), weights
+
+
+def own_licenses(files: DataFrame, threshold: float = THRESHOLD, share: float = FILE_SHARE, frequent: int = FREQUENT) -> DataFrame:
     """id, license, score, is_file of the files with a match; ``files`` has id and text.
 
     The best unit gives the license: of those that hold most of the file, if there are any.
@@ -184,16 +224,15 @@ def own_licenses(files: DataFrame, threshold: float = THRESHOLD, share: float =
     often = written(frequencies(files), "frequencies")
     texts = files.count()
     known = Templates({r.term: r.texts for r in often.where(F.col("term").isin(Templates.terms())).collect()}, texts, threshold=threshold)
-    units = written(sorted_units(units_of(files, known.anchors)), "units")
-    weighed = unit_terms(units).join(often, "term").withColumn("w", F.col("tf") * F.log(1 + F.lit(float(texts)) / F.col("texts")))
-    weights = spark.createDataFrame([(k, name, w, x) for k, (name, by) in enumerate(zip(known.names, known.weights)) for w, x in by.items()], "template int, license string, term string, x double")
-    # The unit's norm and its products with all templates in one aggregation: a row without a template adds to the norm.
-    products = weighed.join(F.broadcast(weights.groupBy("term").agg(F.collect_list(F.struct("template", "license", "x")).alias("in_templates"))), "term", "left")
-    own = F.array(F.struct(F.lit(-1).alias("template"), F.lit("").alias("license"), F.col("w").alias("x")))
-    rows = products.select("id", "total", "unit", "n", "w", F.explode(F.concat(own, F.coalesce("in_templates", F.array().cast("array<struct<template:int,license:string,x:double>>")))).alias("t"))
-    sums = rows.groupBy("id", "total", "unit", "n", "t.template", "t.license").agg(F.sum(F.col("w") * F.col("t.x")).alias("dot"))
-    norm = sums.where("template = -1").select("id", "unit", F.sqrt("dot").alias("norm"))
-    scored = sums.where("template >= 0").join(norm, ["id", "unit"]).withColumn("score", F.round(F.col("dot") / F.col("norm"), 6)).where(F.col("score") >= threshold)
+    units = written(units_of(files, known.anchors), "units")
+    near, weights = near_units(units, often, known, texts, threshold, frequent)
+    near = written(near, "near")
+    # The terms without a weight at hand are joined with theirs for these units alone.
+    rare = unit_terms(sorted_units(units.select("id", "unit", "words").join(near.where("rest > 0").select("id", "unit"), ["id", "unit"]))).join(F.broadcast(weights.select("term")), "term", "left_anti")
+    others = rare.join(often, "term").groupBy("id", "unit").agg(F.sum((F.col("tf") * F.log(1 + F.lit(float(texts)) / F.col("texts"))) ** 2).alias("others"))
+    scored = near.join(others, ["id", "unit"], "left").select("id", "total", "unit", "n", F.sqrt(F.col("known") + F.coalesce("others", F.lit(0.0))).alias("norm"), F.inline("dots"))
+    license = F.element_at(F.array(*map(F.lit, known.names)), F.col("template") + 1)
+    scored = scored.withColumn("license", license).withColumn("score", F.round(F.col("dot") / F.col("norm"), 6)).where(F.col("score") >= threshold)
     title = F.col("template").isin(list(TITLED)) & F.col("unit").between(0, RUN - 1)
     best = scored.groupBy("id", "total", "unit", "n").agg(F.min(F.struct((-F.col("score")).alias("less"), "license")).alias("top"), F.max(title).alias("title"))
     # A unit that holds most of the file counts before a shorter one.

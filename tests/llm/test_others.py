@@ -205,6 +205,32 @@ def test_terms_of_units_are_counted_without_a_shuffle(spark):
     assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
 
 
+def test_a_common_licence_line_shuffles_no_terms_of_its_units(spark):
+    words = [f"w{k}" for k in range(200)]
+    text = lambda i: "\n".join(["Licensed under CC BY 4.0." if i % 10 else "Nothing."] + [" ".join(words[(i * 7 + k * 31 + j * (k + 3)) % 200] for j in range(20)) for k in range(8)])
+    files = spark.createDataFrame([(i, text(i)) for i in range(400)] + [(1000 + i, f"Licensed under CC BY 4.0.\nw{i} only{i}") for i in range(20)], "id long, text string").repartition(4).persist()
+    files.count()
+    store = spark.sparkContext._jsc.sc().statusStore()
+    none = spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.double, 0)
+    stages = lambda: [x for x in (found.apply(k) for found in [store.stageList(None, False, False, none, None)] for k in range(found.size()))]
+    before = max(x.stageId() for x in stages())
+    # As with a vocabulary too large to be broadcast.
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        found = {(r.id, r.license, round(r.score, 5), r.is_file) for r in licenses.own_licenses(files).collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    shuffled = sum(x.shuffleWriteRecords() for x in stages() if x.stageId() > before)
+    assert shuffled < 60_000, shuffled
+    assert len(found) == 380 and {x[1] for x in found} == {"CC-BY-4.0"}
+    # However few terms are weighed at hand, the result is the same.
+    for frequent in (0, 20):
+        assert {(r.id, r.license, round(r.score, 5), r.is_file) for r in licenses.own_licenses(files, frequent=frequent).collect()} == found
+    files.unpersist()
+
+
 def test_wrapped_licence_files_are_found_and_inherited(spark):
     bsd = "Copyright (c) 2020, Some One\nAll rights reserved.\n\n" + "\n\n".join("\n".join(x[k : k + 70] for k in range(0, len(x), 70)) for x in dict(licenses.TEXTS)["BSD-3-Clause"].replace("-", " ").split("\n"))
     kinds = {**WRAPPED, "BSD-3-Clause": bsd, "ISC": "Copyright 2021 Some One\n\n" + dict(licenses.TEXTS)["ISC"]}
